@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, progressive_jpeg, token_files
+from . import decontaminate, language_id, mixing, order_minhash, progressive_jpeg, secrets, token_files
 from .common import held_out, read_table, small_batches
 
 
@@ -32,6 +32,12 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sources = mix.sources.select("source_no", "source_size", "target")
+    return mix.taken().join(sources, "source_no").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.select(
+        F.col("id").alias("doc_id"),
+        *[secrets.counted(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.rendered(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -61,12 +77,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = order_minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_progressive_jpeg": op1_progressive_jpeg,
+        "op2_mixing": op2_mixing,
         "op3_token_files": op3_token_files,
+        "op4_secrets": op4_secrets,
         "op8_language_id": op8_language_id,
         "op9_decontaminate": op9_decontaminate,
+        "op10_order_minhash": op10_order_minhash,
     }
 
 
@@ -96,4 +121,4 @@ FROM d LEFT JOIN hits ON d.r = hits.r LEFT JOIN its ON d.r = its.r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL}
+    return {"op2_mixing": mixing.oracle_sql(), "op9_decontaminate": OP9_SQL}
