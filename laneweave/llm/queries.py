@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, order_minhash, progressive_jpeg, secrets, token_files
+from . import decontaminate, language_id, mixing, order_minhash, pii, progressive_jpeg, quality_rules, secrets, token_files, toxicity
 from .common import held_out, read_table, small_batches
 
 
@@ -55,6 +55,34 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    scored = toxicity.score(docs, model, "text", "score")
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    scored = quality_rules.score(docs, model, "text", "score")
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs), "text", "personal")
+    spans = F.col("personal")
+    return found.select(
+        "doc_id",
+        *[pii.counted(spans, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.rendered(pii.base_only(spans)).cast("binary"), 256).alias("base_sha256"),
+        pii.rendered(spans).alias("spans"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -89,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_token_files": op3_token_files,
         "op4_secrets": op4_secrets,
+        "op5_toxicity": op5_toxicity,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_decontaminate": op9_decontaminate,
         "op10_order_minhash": op10_order_minhash,
