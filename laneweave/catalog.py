@@ -1,19 +1,497 @@
-"""All queries of the core package with their SQL counterparts."""
+"""All queries of the core package with their SQL counterparts.
+
+Queries run over the views of :mod:`lens`; those about files write and read
+alignment files built from them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import lens
+from .functions import cigar as cg
+from .functions import hashing, keys
+from .functions import intervals as iv
+from .operators import features, regions, routing, stats
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def _with(sql: str, span: bool = False, more: str = "") -> str:
+    return f"WITH {lens.duck(span)}{',' if more else ''}\n{more}\n{sql}"
+
+
+# ---------------------------------------------------------------- geometry
+
+_C = "CAST(coalesce(list_sum(list_transform(list_filter(cigar, lambda c: list_contains([{}], c.op)), lambda c: c.len)), 0) AS BIGINT)"
+
+
+@_query(
+    "cigar_span",
+    _with(
+        "SELECT ordinal, "
+        + ", ".join(f"{_C.format(ops)} AS {name}" for name, ops in (("aligned", "0, 7, 8"), ("deleted", "2"), ("skipped", "3"), ("total", "0, 2, 3, 7, 8"), ("read_length", "0, 1, 4, 7, 8")))
+        + ", list_aggregate(list_transform(cigar, lambda c: concat(c.len, substr('MIDNSHP=X', c.op + 1, 1))), 'string_agg', '') AS text FROM aln"
+    ),
+)
+def cigar_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aln = lens.alignments(spark, sf_dir)
+    return aln.select("ordinal", cg.reference_span(F.col("cigar")).alias("s"), cg.read_length(F.col("cigar")).alias("read_length"), cg.text(F.col("cigar")).alias("text")).select("ordinal", "s.*", "read_length", "text")
+
+
+_BLOCKS_SQL = "SELECT ordinal, CAST(len(blocks) AS BIGINT) AS n_blocks, list_aggregate(list_transform(blocks, lambda b: concat(b.start, '-', b.\"end\")), 'string_agg', ',') AS blocks, (blocks[-1])['end'] AS geom_end FROM aln WHERE ref_id >= 0"
+
+
+def _blocks(spark: SparkSession, sf_dir: str, span: bool) -> DataFrame:
+    rows = regions.with_geometry(lens.alignments(spark, sf_dir), span)
+    named = F.array_join(F.transform("blocks", lambda b: F.concat_ws("-", b["start"], b["end"])), ",")
+    return rows.select("ordinal", F.size("blocks").cast("long").alias("n_blocks"), named.alias("blocks"), "geom_end")
+
+
+_query("cigar_blocks", _with(_BLOCKS_SQL))(lambda spark, d: _blocks(spark, d, False))
+_query("cigar_span_geometry", _with(_BLOCKS_SQL, True))(lambda spark, d: _blocks(spark, d, True))
+
+
+@_query("alignment_end", _with("SELECT ordinal, pos + greatest(" + _C.format("0, 2, 3, 7, 8") + ", 1) AS aln_end FROM aln WHERE ref_id >= 0"))
+def alignment_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lens.alignments(spark, sf_dir).filter("ref_id >= 0")
+    return placed.select("ordinal", cg.alignment_end(F.col("pos"), F.col("cigar")).alias("aln_end"))
+
+
+_SETS = """part0 AS (SELECT p_partkey AS k, (p_partkey * 31) % 500 AS a, 20 + p_size AS n, 40 + p_size * 2 AS s FROM part),
+raw AS (SELECT k, [{'a': a, 'b': a + n}, {'a': a + s, 'b': a + s + 25}, {'a': a + 15, 'b': a + 15}, {'a': a + n, 'b': a + n + 10}] AS i, a, n FROM part0),
+pt AS (SELECT k, a, n, unnest(i) AS x FROM raw),
+ok AS (SELECT k, a, n, x.a AS s, x.b AS e FROM pt WHERE x.b > x.a),
+m1 AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM ok),
+m2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m1),
+mm AS (SELECT k, any_value(a) AS a, any_value(n) AS n, g, min(s) AS s, max(e) AS e FROM m2 GROUP BY k, g)"""
+
+
+def _interval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "(p_partkey * 31) % 500 AS a", "CAST(20 + p_size AS BIGINT) AS n", "CAST(40 + p_size * 2 AS BIGINT) AS s")
+    c = F.col
+    raw = F.array(iv.interval(c("a"), c("a") + c("n")), iv.interval(c("a") + c("s"), c("a") + c("s") + 25), iv.interval(c("a") + 15, c("a") + 15), iv.interval(c("a") + c("n"), c("a") + c("n") + 10))
+    return part.withColumn("merged", iv.merged(raw))
+
+
+@_query("interval_merge", f"WITH {_SETS} SELECT k, string_agg(concat(s, '-', e), ',' ORDER BY s) AS merged, CAST(sum(e - s) AS BIGINT) AS total FROM mm GROUP BY k")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _interval_rows(spark, sf_dir)
+    text = F.array_join(F.transform("merged", lambda i: F.concat_ws("-", i["start"], i["end"])), ",")
+    return rows.select("k", text.alias("merged"), iv.total_length(F.col("merged")).alias("total"))
+
+
+@_query(
+    "interval_overlap_len",
+    f"""WITH {_SETS}, probe AS (SELECT k, a + 10 AS ps, a + 10 + n AS pe FROM part0)
+SELECT mm.k, CAST(sum(greatest(least(e, pe) - greatest(s, ps), 0)) AS BIGINT) AS shared, bool_or(s <= ps AND pe <= e) AS inside, bool_or(s <= ps + 3 AND ps + 3 < e) AS has_point
+FROM mm JOIN probe USING (k) GROUP BY mm.k""",
+)
+def interval_overlap_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _interval_rows(spark, sf_dir)
+    probe = iv.interval(F.col("a") + 10, F.col("a") + 10 + F.col("n"))
+    return rows.select(
+        "k",
+        iv.set_overlap(F.col("merged"), F.array(probe)).alias("shared"),
+        iv.set_contains_all(F.col("merged"), F.array(probe)).alias("inside"),
+        iv.set_contains_point(F.col("merged"), F.col("a") + 13).alias("has_point"),
+    )
+
+
+@_query(
+    "interval_scalars",
+    """SELECT p_partkey AS k, greatest(p_size - 10, 0) AS len, p_size <= 10 AS empty, 10 <= 25 AND 25 < p_size AS has_25,
+CASE WHEN p_size > 10 AND 20 < p_size THEN least(p_size, 40) - 20 ELSE 0 END AS shared, 10 + (p_size - 10) // 2 - CASE WHEN p_size < 10 AND p_size % 2 = 1 THEN 1 ELSE 0 END AS mid,
+least(10, 20) AS env_start, greatest(p_size, 40) AS env_end, 10 <= 40 AND 20 <= p_size AS touching, CASE WHEN p_size <= 10 THEN 11 ELSE p_size END AS last_base FROM part""",
+)
+def interval_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    a, b = iv.interval(F.lit(10), F.col("p_size")), iv.interval(F.lit(20), F.lit(40))
+    i = lambda c: c.cast("int")
+    return part.select(
+        F.col("p_partkey").alias("k"),
+        i(iv.length(a)).alias("len"),
+        iv.is_empty(a).alias("empty"),
+        iv.contains(a, F.lit(25)).alias("has_25"),
+        i(F.when(iv.intersects(a, b), iv.overlap(a, b)).otherwise(0)).alias("shared"),
+        i(iv.midpoint(a)).alias("mid"),
+        i(iv.envelope(a, b)["start"]).alias("env_start"),
+        i(iv.envelope(a, b)["end"]).alias("env_end"),
+        iv.touches(a, b).alias("touching"),
+        i(iv.one_based(a)["end"]).alias("last_base"),
+    )
+
+
+# ---------------------------------------------------------------- routing by reference
+
+
+_COUNTERS = """count(*) AS total, count(*) FILTER (ref_id >= 0 AND flag & 4 = 0) AS mapped, count(*) FILTER (ref_id >= 0 AND flag & 4 <> 0) AS placed_unmapped,
+count(*) FILTER (ref_id < 0) AS unplaced, count(*) FILTER (flag & 2304 = 0) AS "primary", count(*) FILTER (flag & 256 <> 0) AS secondary,
+count(*) FILTER (flag & 256 = 0 AND flag & 2048 <> 0) AS supplementary, count(*) FILTER (flag & 1024 <> 0) AS duplicate, count(*) FILTER (flag & 512 <> 0) AS qc_fail,
+CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS n_bytes"""
+_CHROM_KEY = "CASE WHEN ref_id < 0 THEN 'unmapped' ELSE chrom END"
+
+
+def _routed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return routing.route_chrom(lens.alignments(spark, sf_dir), lens.references(spark), **options)
+
+
+@_query("route_chrom_default", _with(f"SELECT {_CHROM_KEY} AS key, {_COUNTERS} FROM aln GROUP BY 1"))
+def route_chrom_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.output_stats(routing.emissions(_routed(spark, sf_dir)))
+
+
+@_query("route_chrom_placed_unmapped", _with(f"SELECT CASE WHEN flag & 4 <> 0 THEN 'unmapped' ELSE {_CHROM_KEY} END AS key, {_COUNTERS} FROM aln GROUP BY 1"))
+def route_chrom_placed_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.output_stats(routing.emissions(_routed(spark, sf_dir, placed_unmapped="unmapped")))
+
+
+@_query("route_chrom_include_exclude", _with("SELECT ordinal, CASE WHEN chrom IN ('chr0', 'chr2') THEN chrom END AS key, CASE WHEN chrom NOT IN ('chr0', 'chr2') AND ref_id >= 0 THEN 'excluded-reference' WHEN ref_id < 0 THEN 'unplaced' END AS reason FROM aln"))
+def route_chrom_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = _routed(spark, sf_dir, unplaced="drop", include=["chr0", "chr1", "chr2"], exclude=["chr1"])
+    return routed.select("ordinal", F.get("keys", 0).alias("key"), F.col("drop_reason").alias("reason"))
+
+
+@_query("route_chrom_drops", _with("SELECT CASE WHEN ref_id < 0 THEN 'unplaced' ELSE 'excluded-reference' END AS drop_reason, count(*) AS n FROM aln WHERE ref_id < 0 OR ref_id = 4 GROUP BY 1"))
+def route_chrom_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.drop_counts(_routed(spark, sf_dir, unplaced="drop", exclude=["chr4"]))
+
+
+@_query("declared_keys_anti", _with("SELECT CAST(ref_id AS BIGINT) AS position, name AS key FROM refs WHERE name NOT IN (SELECT chrom FROM aln WHERE ref_id >= 0)"))
+def declared_keys_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = routing.declared_chrom_keys(lens.references(spark))
+    skipped = routing.skipped_keys(declared, routing.emissions(_routed(spark, sf_dir)))
+    return skipped.select("position", "key")
+
+
+@_query("placement_counts", _with("SELECT CASE WHEN ref_id < 0 THEN 'unplaced' WHEN flag & 4 <> 0 THEN 'placed-unmapped' ELSE 'mapped' END AS placement, count(*) AS n, count(*) FILTER (flag & 2304 = 0) AS n_primary FROM aln GROUP BY 1"))
+def placement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aln = lens.alignments(spark, sf_dir)
+    return aln.groupBy(routing.placement(F.col("ref_id"), F.col("flag")).alias("placement")).agg(F.count("*").alias("n"), F.count_if(routing.is_primary(F.col("flag"))).alias("n_primary"))
+
+
+# ---------------------------------------------------------------- tags, read groups, shards
+
+
+_RG = "aln LEFT JOIN rgs ON aln.rg = rgs.id"
+
+
+@_query("tag_read_group_value", _with("SELECT coalesce(rg, 'no-tag') AS key, count(*) AS n FROM aln GROUP BY 1"))
+def tag_read_group_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.emissions(routing.route_tag(lens.alignments(spark, sf_dir), "rg")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@_query("tag_field_sample", _with(f"SELECT coalesce(sample, 'no-tag') AS key, {_COUNTERS} FROM {_RG} GROUP BY 1"))
+def tag_field_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.output_stats(routing.emissions(routing.route_read_group(lens.alignments(spark, sf_dir), lens.read_groups(spark, sf_dir))))
+
+
+@_query("tag_missing_policies", _with(f"SELECT ordinal, sample AS key, CASE WHEN sample IS NOT NULL THEN NULL WHEN rg IS NULL THEN 'missing-tag' WHEN id IS NULL THEN 'unknown-read-group' ELSE 'missing-read-group-field' END AS reason FROM {_RG}"))
+def tag_missing_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = routing.route_read_group(lens.alignments(spark, sf_dir), lens.read_groups(spark, sf_dir), missing="drop", unknown="drop")
+    return routed.select("ordinal", F.get("keys", 0).alias("key"), F.col("drop_reason").alias("reason"))
+
+
+@_query("tag_unknown_rg", _with(f"SELECT 'unknown-read-group' AS drop_reason, count(*) AS n FROM {_RG} WHERE rg IS NOT NULL AND id IS NULL HAVING count(*) > 0"))
+def tag_unknown_rg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.drop_counts(routing.route_read_group(lens.alignments(spark, sf_dir), lens.read_groups(spark, sf_dir), "library", unknown="drop"))
+
+
+@_query("tag_declared_keys", _with("SELECT DISTINCT sample AS key FROM rgs WHERE sample IS NOT NULL UNION SELECT 'no-tag'"))
+def tag_declared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.declared_tag_keys(lens.read_groups(spark, sf_dir), "sample")
+
+
+@_query("tag_cardinality", _with("SELECT count(DISTINCT rg) AS distinct_values, count(rg) AS present FROM aln"))
+def tag_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_values(lens.alignments(spark, sf_dir), "rg")
+
+
+@_query("shard_coherence", _with("SELECT qname, 1 AS shards, count(*) AS n FROM aln GROUP BY qname"))
+def shard_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = routing.emissions(routing.route_shard(lens.alignments(spark, sf_dir), F.col("qname"), 16))
+    return routed.groupBy("qname").agg(F.count_distinct("key").cast("int").alias("shards"), F.count("*").alias("n"))
+
+
+@_query("shard_balance_total", _with("SELECT count(*) AS n, true AS in_range, true AS named FROM aln"))
+def shard_balance_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aln = lens.alignments(spark, sf_dir).withColumn("shard", hashing.shard_number(F.col("qname"), 16))
+    name = hashing.shard_name(F.col("shard"), 16)
+    return aln.agg(F.count("*").alias("n"), F.bool_and(F.col("shard").between(0, 15)).alias("in_range"), F.bool_and(name.rlike("^shard-[0-9]{4}$")).alias("named"))
+
+
+@_query("shard_missing", _with("SELECT CASE WHEN sample IS NULL THEN 'no-key' ELSE 'sharded' END AS kind, count(*) AS n FROM aln LEFT JOIN rgs ON aln.rg = rgs.id GROUP BY 1"))
+def shard_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aln = routing.with_read_group(lens.alignments(spark, sf_dir), lens.read_groups(spark, sf_dir), "sample")
+    routed = routing.emissions(routing.route_shard(aln, F.col("_value"), 8))
+    kind = F.when(F.col("key") == "no-key", "no-key").otherwise("sharded")
+    return routed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@_query("shard_numbers")
+def shard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = routing.emissions(routing.route_shard(lens.alignments(spark, sf_dir), F.col("qname"), 16))
+    return routed.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@_query("shard_declared", "SELECT concat('shard-', lpad(CAST(i AS VARCHAR), 4, '0')) AS key FROM range(16) t(i) UNION ALL SELECT 'no-key'")
+def shard_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.declared_shard_keys(spark, 16)
+
+
+# ---------------------------------------------------------------- annotation features
+
+_SEGMENTS = {
+    "span": "[{'start': start, 'end': \"end\"}]",
+    "exon": "exons",
+    "intron": "CASE WHEN n > 0 THEN list_transform(range(1, len(exons)), lambda i: {'start': (exons[i])['end'], 'end': exons[i + 1].start}) ELSE [] END",
+    "cds": "list_transform(exons, lambda e: {'start': greatest(e.start, thick_start), 'end': least(e['end'], thick_end)})",
+    "utr": "list_concat(list_transform(exons, lambda e: {'start': e.start, 'end': least(e['end'], thick_start)}), list_transform(exons, lambda e: {'start': greatest(e.start, thick_end), 'end': e['end']}))",
+}
+_LEFT, _RIGHT = (f"list_transform(exons, lambda e: {x})" for x in ("{'start': e.start, 'end': least(e['end'], thick_start)}", "{'start': greatest(e.start, thick_end), 'end': e['end']}"))
+_SEGMENTS["five-utr"] = f"CASE strand WHEN '-' THEN {_RIGHT} ELSE {_LEFT} END"
+_SEGMENTS["three-utr"] = f"CASE strand WHEN '-' THEN {_LEFT} ELSE {_RIGHT} END"
+_MISSING = {f: ("thick_start IS NULL OR thick_start >= thick_end" if f in features.NEEDS_CODING else "false") + (" OR strand NOT IN ('+', '-')" if f in features.NEEDS_STRAND else "") for f in features.FEATURES}
+
+
+def _regions_sql(feature: str) -> str:
+    """regs: ordinal, key, chrom, segments, env_start, env_end and the naming columns."""
+    return f"""kept AS (
+  SELECT *, list_sort(list_filter({_SEGMENTS[feature]}, lambda s: s['end'] > s.start)) AS segments,
+    name IS NULL OR name IN ('', '.') AS generated, CASE WHEN name IS NULL OR name IN ('', '.') THEN concat_ws('-', 'region', chrom, start, "end", ordinal) ELSE name END AS base_name
+  FROM ann WHERE NOT ({_MISSING[feature]})),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY base_name ORDER BY ordinal) AS dup_suffix FROM kept),
+regs AS (
+  SELECT ordinal AS region_ordinal, CASE WHEN dup_suffix > 1 THEN concat(base_name, '.', dup_suffix) ELSE base_name END AS key, chrom, segments,
+    coalesce(segments[1].start, start) AS env_start, coalesce((segments[-1])['end'], start) AS env_end, generated, CAST(dup_suffix AS INT) AS dup_suffix, n
+  FROM numbered),
+seg AS (SELECT region_ordinal, key, unnest(segments) AS s FROM regs)"""
+
+
+def _region_rows(spark: SparkSession, sf_dir: str, feature: str) -> DataFrame:
+    return features.extract(lens.annotation(spark, sf_dir), feature)
+
+
+def _feature_query(feature: str) -> None:
+    sql = """SELECT region_ordinal AS ordinal, key, env_start, env_end, CAST(len(segments) AS BIGINT) AS n_segments,
+CAST(coalesce(list_sum(list_transform(segments, lambda s: s['end'] - s.start)), 0) AS BIGINT) AS total FROM regs"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _region_rows(spark, sf_dir, feature)
+        return rows.select("ordinal", "key", "env_start", "env_end", F.size("segments").cast("long").alias("n_segments"), iv.total_length(F.col("segments")).alias("total"))
+
+    _query(f"feature_{feature.replace('-', '_')}", _with(sql, more=_regions_sql(feature)))(run)
+
+
+for _f in features.FEATURES:
+    _feature_query(_f)
+
+
+@_query("names_dedup", _with("SELECT region_ordinal AS ordinal, key, dup_suffix, generated FROM regs", more=_regions_sql("five-utr")))
+def names_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _region_rows(spark, sf_dir, "five-utr").select("ordinal", "key", "dup_suffix", "generated")
+
+
+@_query("names_by_field", _with("SELECT ordinal, concat('x', ordinal) AS key FROM ann"))
+def names_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.named(lens.annotation(spark, sf_dir), name_field="field13").select("ordinal", "key")
+
+
+_COUNT_SQL = f"""SELECT (SELECT count(*) FROM ann) AS records, (SELECT count(*) FROM ann WHERE {_MISSING["three-utr"]}) AS missing, CAST(0 AS BIGINT) AS no_blocks,
+(SELECT count(*) FROM ann WHERE {_MISSING["cds"]}) AS no_coding, (SELECT count(*) FROM ann WHERE strand NOT IN ('+', '-')) AS no_strand,
+(SELECT count(*) FROM seg) AS segments, count(*) FILTER (len(segments) = 0) AS empty, count(*) FILTER (generated) AS generated, count(*) FILTER (dup_suffix > 1) AS duplicates,
+CAST(0 AS BIGINT) AS fallback FROM regs"""
+
+
+@_query("extraction_counts", _with(_COUNT_SQL, more=_regions_sql("three-utr")))
+def extraction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.extraction_counts(lens.annotation(spark, sf_dir), "three-utr")
+
+
+@_query(
+    "windows_tile",
+    _with("""SELECT CAST(ref_id * 15 + w AS BIGINT) AS ordinal, concat(name, ':', w * 7000 + 1, '-', least((w + 1) * 7000, length)) AS key, w * 7000 AS env_start, least((w + 1) * 7000, length) AS env_end
+FROM refs, range(15) t(w)"""),
+)
+def windows_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.windows(lens.references(spark), 7000).select("ordinal", "key", "env_start", "env_end")
+
+
+# ---------------------------------------------------------------- region routing
+
+_PAIRS = """reads AS (SELECT ordinal, chrom, blocks, blocks[1].start AS gs, (blocks[-1])['end'] AS ge FROM aln WHERE ref_id >= 0 AND pos >= 0),
+cand AS (SELECT r.ordinal, r.blocks, gs, ge, g.* EXCLUDE (chrom) FROM reads r JOIN regs g ON r.chrom = g.chrom AND gs < env_end AND env_start < ge),
+fit AS (
+  SELECT ordinal, region_ordinal, key, {shared} AS shared, CAST(list_sum(list_transform(segments, lambda s: s['end'] - s.start)) AS BIGINT) AS span_len
+  FROM cand WHERE {test})"""
+_SHARED = "CAST(list_sum(list_transform(blocks, lambda b: list_sum(list_transform(segments, lambda s: greatest(least(b['end'], s['end']) - greatest(b.start, s.start), 0))))) AS BIGINT)"
+_TESTS = {
+    "start": "len(list_filter(segments, lambda s: s.start <= gs AND gs < s['end'])) > 0",
+    "midpoint": "len(list_filter(segments, lambda s: s.start <= gs + (ge - gs) // 2 AND gs + (ge - gs) // 2 < s['end'])) > 0",
+    "contained": "len(list_filter(blocks, lambda b: len(list_filter(segments, lambda s: s.start <= b.start AND b['end'] <= s['end'])) > 0)) = len(blocks)",
+    "best-overlap": f"{_SHARED} > 0",
+    "overlap": f"{_SHARED} > 0",
+}
+
+
+def _fit_sql(mode: str, feature: str = "exon") -> str:
+    return _regions_sql(feature) + ",\n" + _PAIRS.format(shared=_SHARED, test=_TESTS[mode])
+
+
+def _pairs(spark: SparkSession, sf_dir: str, mode: str, span: bool = False, feature: str = "exon") -> DataFrame:
+    return regions.matches(lens.alignments(spark, sf_dir), _region_rows(spark, sf_dir, feature), mode, span)
+
+
+def _assign_query(name: str, mode: str, span: bool = False, feature: str = "exon") -> None:
+    order = "shared DESC, span_len, region_ordinal" if mode == "best-overlap" else "span_len, region_ordinal"
+    sql = f"""SELECT ordinal, key, region_ordinal, candidates FROM (
+  SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY {order}) AS rn, count(*) OVER (PARTITION BY ordinal) AS candidates FROM fit) WHERE rn = 1"""
+    if mode == "overlap":
+        sql = "SELECT ordinal, key, region_ordinal FROM fit"
+    _query(name, _with(sql, span, _fit_sql(mode, feature)))(lambda spark, d: regions.assigned(_pairs(spark, d, mode, span, feature), mode))
+
+
+_assign_query("region_start", "start")
+_assign_query("region_midpoint", "midpoint")
+_assign_query("region_contained", "contained")
+_assign_query("region_best_overlap", "best-overlap")
+_assign_query("region_overlap_fanout", "overlap")
+_assign_query("region_span_geometry", "best-overlap", True, "intron")
+
+
+@_query("region_unmatched", _with("SELECT ordinal FROM aln WHERE ordinal NOT IN (SELECT ordinal FROM fit)", more=_fit_sql("start")))
+def region_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.unmatched(lens.alignments(spark, sf_dir), _pairs(spark, sf_dir, "start")).select("ordinal")
+
+
+_AMBIGUITY = """SELECT (SELECT count(DISTINCT ordinal) FROM fit) AS matched, (SELECT count(*) FROM aln) - (SELECT count(DISTINCT ordinal) FROM fit) AS unmatched,
+{}
+FROM (SELECT ordinal, count(*) AS n FROM fit GROUP BY ordinal)"""
+
+
+@_query("region_ambiguity", _with(_AMBIGUITY.format("count(*) FILTER (n > 1) AS ambiguous, CAST(0 AS BIGINT) AS duplicates, CAST(max(least(n, 1)) AS BIGINT) AS max_matches"), more=_fit_sql("best-overlap")))
+def region_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.routing_counts(lens.alignments(spark, sf_dir), _pairs(spark, sf_dir, "best-overlap"), "best-overlap")
+
+
+@_query("region_duplicates", _with(_AMBIGUITY.format("CAST(0 AS BIGINT) AS ambiguous, CAST(sum(n - 1) AS BIGINT) AS duplicates, max(n) AS max_matches"), more=_fit_sql("overlap")))
+def region_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.routing_counts(lens.alignments(spark, sf_dir), _pairs(spark, sf_dir, "overlap"), "overlap")
+
+
+@_query(
+    "region_output_stats",
+    _with(f"SELECT key, {_COUNTERS} FROM (SELECT ordinal, key FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY span_len, region_ordinal) AS rn FROM fit) WHERE rn = 1) JOIN aln USING (ordinal) GROUP BY key", more=_fit_sql("start")),
+)
+def region_output_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.output_stats(routing.emissions(regions.route_region(lens.alignments(spark, sf_dir), _region_rows(spark, sf_dir, "exon"), "start")))
+
+
+@_query("overlapping_region_pairs", _with("SELECT a.region_ordinal AS first, b.region_ordinal AS second FROM regs a JOIN regs b ON a.chrom = b.chrom AND a.region_ordinal < b.region_ordinal AND a.env_start < b.env_end AND b.env_start < a.env_end", more=_regions_sql("span")))
+def overlapping_region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.overlapping_pairs(_region_rows(spark, sf_dir, "span"))
+
+
+@_query("reference_name_diff", _with("SELECT name FROM refs WHERE name NOT IN (SELECT chrom FROM regs) ORDER BY name LIMIT 20", more=_regions_sql("span")))
+def reference_name_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.name_differences(lens.references(spark), _region_rows(spark, sf_dir, "span"))[0]
+
+
+@_query("covered_bases_density", _with(f"SELECT CAST(sum(s['end'] - s.start) AS BIGINT) AS covered, CAST({lens.REFERENCES * lens.LENGTH} AS BIGINT) AS genome, sum(s['end'] - s.start) * 4 >= {lens.REFERENCES * lens.LENGTH} AS dense FROM seg", more=_regions_sql("exon")))
+def covered_bases_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.coverage(_region_rows(spark, sf_dir, "exon"), lens.references(spark))
+
+
+# ---------------------------------------------------------------- counts and checks
+
+
+@_query("inspect_scan", _with(f"SELECT {_COUNTERS} FROM aln"))
+def inspect_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lens.alignments(spark, sf_dir).agg(*stats.record_counters())
+
+
+@_query("per_reference_counts", _with("SELECT refs.ref_id, name, count(*) AS n FROM aln JOIN refs USING (ref_id) GROUP BY ALL"))
+def per_reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.per_reference(lens.alignments(spark, sf_dir), lens.references(spark))
+
+
+@_query(
+    "first_last_coordinate",
+    _with(f"SELECT {_CHROM_KEY} AS key, arg_min(ref_id, ordinal) AS first_ref, arg_min(pos, ordinal) AS first_pos, arg_max(ref_id, ordinal) AS last_ref, arg_max(pos, ordinal) AS last_pos FROM aln WHERE ref_id >= 0 GROUP BY 1"),
+)
+def first_last_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.coordinate_range(routing.emissions(_routed(spark, sf_dir)))
+
+
+_PRIOR = "last_value(CASE WHEN ref_id >= 0 THEN CAST(ref_id AS BIGINT) * 1000000 + pos END IGNORE NULLS) OVER ({}ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@_query("order_violations", _with(f"SELECT ordinal FROM (SELECT *, {_PRIOR.format('')} AS prior, coalesce(bool_or(ref_id < 0) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM aln) WHERE ref_id >= 0 AND (gone OR coalesce(CAST(ref_id AS BIGINT) * 1000000 + pos < prior, false))"))
+def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.order_violations(lens.alignments(spark, sf_dir))
+
+
+@_query("coordinate_sorted_flag", _with(f"SELECT key, bool_and(ref_id < 0 OR coalesce(CAST(ref_id AS BIGINT) * 1000000 + pos >= prior, true)) AS coordinate_sorted FROM (SELECT *, {_PRIOR.format('PARTITION BY key ')} AS prior FROM (SELECT *, {_CHROM_KEY} AS key FROM aln)) GROUP BY key"))
+def coordinate_sorted_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.coordinate_sorted(routing.emissions(_routed(spark, sf_dir)))
+
+
+@_query("key_runs", _with(f"SELECT key, count(*) FILTER (prior IS NULL OR prior <> key) AS runs FROM (SELECT key, lag(key) OVER (ORDER BY ordinal) AS prior FROM (SELECT ordinal, {_CHROM_KEY} AS key FROM aln)) GROUP BY key"))
+def key_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.key_runs(routing.emissions(_routed(spark, sf_dir)))
+
+
+@_query("conservation", _with("SELECT count(*) AS input, count(*) FILTER (ref_id >= 0 AND ref_id <> 4) AS unique_emitted, count(*) FILTER (ref_id >= 0 AND ref_id <> 4) AS emissions, count(*) FILTER (ref_id < 0 OR ref_id = 4) AS dropped, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS duplicates, CAST(1 AS BIGINT) AS max_per_record FROM aln"))
+def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_counters(_routed(spark, sf_dir, unplaced="drop", exclude=["chr4"]))
+
+
+@_query("conservation_fanout", _with("SELECT (SELECT count(*) FROM aln) AS input, count(*) AS unique_emitted, CAST(sum(n) AS BIGINT) AS emissions, CAST(0 AS BIGINT) AS dropped, (SELECT count(*) FROM aln) - count(*) AS unmatched, CAST(sum(n - 1) AS BIGINT) AS duplicates, max(n) AS max_per_record FROM (SELECT ordinal, count(*) AS n FROM fit GROUP BY ordinal)", more=_fit_sql("overlap")))
+def conservation_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_counters(regions.route_region(lens.alignments(spark, sf_dir), _region_rows(spark, sf_dir, "exon"), "overlap"))
+
+
+@_query(
+    "filename_encode",
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN '%-' WHEN p_partkey % 11 = 1 THEN concat('%43ON', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat('.', p_partkey) END) WHEN p_partkey % 11 = 2 THEN concat('a%2Fb%20', p_partkey, '%2E')
+ELSE concat('chr', p_partkey, '%2Aok~%C3%A9') END AS name FROM part""",
+)
+def filename_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey AS k",
+        "CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 11 = 1 THEN concat('CON', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat('.', p_partkey) END) "
+        "WHEN p_partkey % 11 = 2 THEN concat('a/b ', p_partkey, '.') ELSE concat('chr', p_partkey, '*ok~é') END AS key",
+    )
+    return part.select("k", keys.encoded(F.col("key")).alias("name"))
+
+
+@_query("key_collisions", "SELECT lower(p_brand) AS name, count(DISTINCT p_type) AS keys FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+def key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.collisions(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_brand", "p_type")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _queries["region_best_overlap"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
