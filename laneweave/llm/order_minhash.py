@@ -10,10 +10,12 @@ alignment of the two word sequences finds an edit similarity
 
 Equal texts are one node from the start, whatever their number. In a bucket of
 equal sketches every node is aligned with the bucket's least node, its hub:
-as many pairs as rows. Nodes that aren't like their hub are compared with one
-another in the same bucket, exactly: by the share of equal sketches in blocks
-of rows, then by alignment. So a large group of copies costs one pair a row,
-and a passage that many unlike texts share costs no link.
+as many pairs as rows. Those unlike their hub get a hub of their own, for
+``HUB_ROUNDS`` rounds. Rows then still without a hub like them, and not yet in
+one component, are compared with one another in their bucket, exactly: by the
+share of equal sketches in blocks of rows, then by alignment. So a large group
+of copies costs one pair a row, and a passage that many unlike texts share
+costs no link.
 
 Classes are the connected components of links; their id is the least document
 id in them. Null texts count as empty, and texts without words are linked to
@@ -41,6 +43,10 @@ K = 5
 SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
+#: Edits up to which the narrow band is tried.
+NARROW = 12
+#: Rounds in which a bucket's rows that aren't like its hub get a hub of their own.
+HUB_ROUNDS = 3
 #: Rows of a bucket that a task compares with one another at once.
 BLOCK_ROWS = 1024
 #: Equal sketches that two nodes of a bucket need before they are aligned, where neither is the hub.
@@ -133,8 +139,8 @@ def _common(a: bytes, i: int, b: bytes, j: int, most: int) -> int:
 def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The edit distance of two word sequences, or None if it is above ``limit``.
 
-    A band of diagonals around the main one is widened edit by edit; on each,
-    only the furthest point is kept.
+    Equal ends are cut off and word counts compared; then a narrow band of
+    diagonals is tried, and beyond it whole columns as bits.
     """
     if abs(len(a) - len(b)) > limit:
         return None
@@ -154,8 +160,51 @@ def distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     _, at_a, at_b = np.intersect1d(words_a, words_b, assume_unique=True, return_indices=True)
     if max(n, m) - int(np.minimum(counts_a[at_a], counts_b[at_b]).sum()) > limit:
         return None
+    band = min(limit, NARROW)
+    found = _by_diagonals(a, b, band)
+    if found is None and band < limit:
+        found = _by_bits(a.tolist(), b.tolist(), limit)
+    return found
+
+
+def _by_bits(a: list[int], b: list[int], limit: int) -> int | None:
+    """Distance column by column, a column's steps up and down as the bits of two numbers.
+
+    Rows further than ``limit`` from the diagonal can't be on a path that counts;
+    the value at the column's end tells early that the limit can't be kept.
+    """
+    at: dict[int, int] = {}
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    last = 1 << (len(a) - 1)
+    up, down, value = every, 0, len(a)
+    left = len(b)
+    for word in b:
+        left -= 1
+        equal = at.get(word, 0)
+        level = ((equal & up) + up ^ up) | equal | down
+        right = down | every & ~(level | up)
+        back = level & up
+        if right & last:
+            value += 1
+        elif back & last:
+            value -= 1
+        if value - left > limit:
+            return None
+        right = (right << 1 | 1) & every
+        up = (back << 1 & every) | every & ~(level | right)
+        down = right & level
+    return value if value <= limit else None
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+    """Distance by a band of diagonals around the main one, widened edit by edit; on each only the furthest point is kept."""
+    n, m = len(a), len(b)
     raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
     goal = m - n
+    if abs(goal) > limit:
+        return None
     reach = {0: _common(raw_a, 0, raw_b, 0, min(n, m))}  # diagonal j - i: furthest i
     if goal == 0 and reach[0] == n:
         return 0
@@ -214,29 +263,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _leftover_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of rows (key, node) of a bucket that agree in enough sketches, block by block.
+    """Pairs of rows (key, node, label) of a bucket with different labels that agree in enough sketches, block by block.
 
     A bucket's rows are dealt to blocks of BLOCK_ROWS; each pair of blocks is a
-    task's group of its own, so that no group grows with the bucket.
+    group of its own, so that no group grows with the bucket.
     """
     numbered = rows.withColumn("block", F.expr(f"(row_number() over (partition by key order by node) - 1) div {BLOCK_ROWS}"))
-    blocks = numbered.groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    blocks = numbered.groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     dealt = (
-        numbered.join(blocks.drop("n"), "key")
+        numbered.join(blocks.filter(F.col("least") < F.col("most")), "key")
         .withColumn("other", other)
-        .select("key", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         .join(sketches, "node")
     )
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, block = group["node"].to_numpy(), group["block"].to_numpy()
+        nodes, block, label = (group[c].to_numpy() for c in ("node", "block", "label"))
         signs = np.stack(group["sketches"].to_numpy())
         low, high = group["low"].iloc[0], group["high"].iloc[0]
         first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
         out = []
         for i in first:
-            others = second[nodes[second] > nodes[i]] if low == high else second
+            others = second[label[second] != label[i]]
+            if low == high:
+                others = others[nodes[others] > nodes[i]]
             agree = (signs[others] == signs[i]).sum(axis=1) >= AGREEING
             out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others[agree]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -277,17 +328,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     bands = bands.select(F.xxhash64("band", "sketch").alias("key"), "node")
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "hub")
     met = staged(bands.join(hubs, "key").filter(F.col("node") != F.col("hub")), "buckets")  # rows of buckets with company
-    pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     needed = met.select("node").union(met.select(F.col("hub").alias("node"))).distinct()
     texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(needed, "node", "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _codes(F.col("text")).alias("codes"))
     texts = staged(texts, "texts")
-    judged = staged(_verified(pairs, texts, similarity), "judged")
+    judged = None
+    for number in range(HUB_ROUNDS):
+        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        if judged is not None:
+            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        new = staged(_verified(pairs, texts, similarity), "judged")
+        judged = new if judged is None else judged.union(new)
+        unlike = judged.filter(~F.col("linked")).select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        left = met.join(unlike, ["hub", "node"], "left_semi").select("key", "node")
+        if number == HUB_ROUNDS - 1:
+            break
+        heads = left.groupBy("key").agg(F.min("node").alias("hub"))
+        met = staged(left.join(heads, "key").filter(F.col("node") != F.col("hub")), "buckets")
     links = judged.filter("linked").select("a", "b")
-    unlike = judged.filter(~F.col("linked")).select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    leftover = met.join(unlike, ["hub", "node"]).select("key", "node")
-    more = _verified(_leftover_pairs(leftover, sketches), texts, similarity).filter("linked").select("a", "b")
-    return rows.select("id", "node"), components(staged(links.union(more), "links"))
+    linked = components(links)
+    # what is still with rows unlike it: only rows of different components can be news to one another
+    left = left.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    more = staged(_verified(_leftover_pairs(left, sketches), texts, similarity).filter("linked").select("a", "b"), "links")
+    if more.limit(1).count():
+        linked = components(links.union(more))
+    return rows.select("id", "node"), linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
