@@ -485,6 +485,48 @@ def key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.collisions(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_brand", "p_type")
 
 
+# ---------------------------------------------------------------- files
+
+
+def _written(spark: SparkSession, sf_dir: str, folder: str) -> tuple[DataFrame, list[dict]]:
+    """The view's records as alignment files by reference under ``folder``: (records with body, reports)."""
+    from .sources import bam_sink
+    from .sources.header import Header
+
+    @F.pandas_udf("binary")
+    def body(ref_id, pos, flag, qname, cigar):
+        from .sources.bam import encode_record
+
+        rows = zip(ref_id, pos, flag, qname, cigar, strict=True)
+        return pd.Series([encode_record(r, p, f, q.encode(), [(c["len"], c["op"]) for c in ops]) for r, p, f, q, ops in rows])
+
+    import pandas as pd
+
+    header = Header("", [(f"chr{i}".encode(), lens.LENGTH) for i in range(lens.REFERENCES)])
+    columns = ("ref_id", "pos", "flag", "qname", "cigar")
+    routed = _routed(spark, sf_dir).withColumn("body", body(*columns))
+    return routed, bam_sink.write_outputs(routing.emissions(routed), header, folder, 1, "bai", 5)
+
+
+@_query("bam_round_trip", _with("SELECT ordinal, qname, ref_id, pos, flag, list_aggregate(list_transform(cigar, lambda c: concat(c.len, substr('MIDNSHP=X', c.op + 1, 1))), 'string_agg', '') AS text FROM aln"))
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment files written by reference and read back; the record order gives the ordinals back."""
+    from .scratch import fresh_folder
+    from .sources import bam
+
+    routed, reports = _written(spark, sf_dir, fresh_folder(spark, "bam"))
+    paths = ",".join(r["file"] for r in reports)
+    back = bam.read_bam(spark, paths, ["path", "qname", "pos", "flag", "cigar"])
+    from pyspark.sql import Window
+
+    nth = lambda key, by: F.row_number().over(Window.partitionBy(key).orderBy(by))
+    files = spark.createDataFrame([(r["file"], r["key"]) for r in reports], "path string, key string")
+    numbered = back.join(F.broadcast(files), "path").withColumn("nth", nth("key", "voffset"))
+    ordinals = routing.emissions(routed).select("key", F.col("ordinal").alias("own")).withColumn("nth", nth("key", "own"))
+    joined = numbered.join(ordinals, ["key", "nth"])
+    return joined.select(F.col("own").alias("ordinal"), F.decode("qname", "UTF-8").alias("qname"), "ref_id", "pos", "flag", cg.text(F.col("cigar")).alias("text"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["region_best_overlap"](spark, sf_dir)
 
