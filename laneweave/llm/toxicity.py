@@ -13,7 +13,9 @@ A toxic document's sentence is toxic for some word in it (multiple-instance
 learning): the witnesses start as the words that sentences of toxic documents
 hold far more often than those of others, and are chosen anew by the SVM.
 Copies count once (documents are grouped by their least word hash). A
-document's score is a logistic curve of its three highest word values.
+document's score is a logistic curve of its three highest word values and its length:
+two insults in a short text weigh more than in a long one. A long text has the
+values of its worst stretch.
 
 Null and empty texts, and texts without words, get the curve's value at the
 SVM's offset. Without labels of both classes every score is 0. Very long words
@@ -48,6 +50,10 @@ WITNESSES, OTHERS = 400, 4000
 CACHE_WORDS = 400_000
 #: Highest word values that a document's score looks at.
 TOP = 3
+#: Words of a long text that are looked at together, half of them at each step.
+STRETCH = 400
+#: What the score's curve takes: those values, and how short the document is.
+INPUTS = TOP + 1
 REGULARISER = 1e-4
 
 #: Marks of a word's begin and end, characters of their own.
@@ -121,7 +127,7 @@ class WordScorer:
 
     def values(self, words: list[str]) -> np.ndarray:
         """The value of each word; of a long one, its highest window's."""
-        out = np.full(len(words), self.offset, np.float32)
+        out = np.full(len(words), -np.inf, np.float32)
         by_length: dict[int, tuple[list[int], list[str]]] = {}
         for i, w in enumerate(words):
             for part in _windows(_core(w)):
@@ -136,30 +142,40 @@ class WordScorer:
                 chars = np.array([[_code(c) for c in p] for p in some], np.int64)
                 codes = chars[:, index[:, 0]] << 12 | chars[:, index[:, 1]] << 6 | chars[:, index[:, 2]]
                 np.maximum.at(out, at[start : start + 2000], self.offset + self.weights[codes] @ weight / _norm[n])
+        out[np.isneginf(out)] = self.offset
         return out
 
 
+def _leading(values: np.ndarray) -> np.ndarray:
+    """The highest values in falling order; of a long text, those of the stretch in which they are highest together."""
+    if len(values) > STRETCH:
+        starts = range(0, len(values) - STRETCH // 2, STRETCH // 2)
+        return max((_leading(values[i : i + STRETCH]) for i in starts), key=lambda v: float(v.sum()))
+    if len(values) > TOP:
+        values = np.partition(values, len(values) - TOP)[-TOP:]
+    return np.sort(values)[::-1]
+
+
 class _Cached(dict):
     def __init__(self, scorer: WordScorer):
         super().__init__()
         self.scorer = scorer
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The three highest word values of each text."""
+        """The three highest word values of each text, and minus the logarithm of its words."""
         if len(self) > CACHE_WORDS:
             self.clear()
         split = [text_words(t) for t in texts]
         new = list({w for words in split for w in words if w not in self})
         self.update(zip(new, self.scorer.values(new).tolist(), strict=True))
         low = self.scorer.offset
-        out = np.full((len(texts), TOP), low)
+        out = np.full((len(texts), INPUTS), low)
+        out[:, TOP] = [-np.log1p(min(len(words), STRETCH)) for words in split]
         get = self.__getitem__
         for row, words in zip(out, split, strict=True):
             if words:
                 values = np.fromiter(map(get, words), np.float64, len(words))
-                if len(values) > TOP:
-                    values = np.partition(values, len(values) - TOP)[-TOP:]
-                values = np.sort(values)[::-1]
+                values = _leading(values)
                 row[: len(values)] = np.maximum(values, low)
         return out
 
@@ -200,13 +216,20 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     ridge = np.full(x.shape[1], REGULARISER)
     ridge[-1] = 1e-6
+
+    def loss(b: np.ndarray) -> float:
+        return float(weight @ np.maximum(1 - y * (x @ b), 0) ** 2 + ridge @ (b * b))
+
     beta = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(50):
         open_ = (y * (x @ beta) < 1) * weight
-        new = np.linalg.solve((x * open_[:, None]).T @ x + np.diag(ridge), x.T @ (open_ * y))
-        if np.abs(new - beta).max() < 1e-8:
+        step = np.linalg.solve((x * open_[:, None]).T @ x + np.diag(ridge), x.T @ (open_ * y)) - beta
+        now, size = loss(beta), 1.0
+        while size > 1e-4 and loss(beta + size * step) > now:  # a whole step may overshoot where rows come in
+            size /= 2
+        beta = beta + size * step
+        if np.abs(step).max() < 1e-6 or now - loss(beta) < 1e-10:
             break
-        beta = new
     return beta
 
 
@@ -235,7 +258,7 @@ class Model:
         self.curve = curve
 
     def scores(self, highest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(highest @ self.curve[:TOP] + self.curve[TOP], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(highest @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -244,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     sample = sample.select("text", "_label")
     totals = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
-        return Model(None, np.zeros(TOP + 1))
+        return Model(None, np.zeros(INPUTS + 1))
     counts = (
         sample.mapInPandas(_sentence_words, "word string, label int, grp long")
         .groupBy("word")
@@ -259,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     spread = counts.filter(F.col("clean") > 0).orderBy(F.xxhash64("word"), "word").limit(OTHERS)
     others = [r["word"] for r in spread.collect() if r["word"] not in witnesses]
     if not witnesses or not others:
-        return Model(None, np.array([*[0.0] * TOP, np.log(totals[1] / totals[0])]))
+        return Model(None, np.array([*[0.0] * INPUTS, np.log(totals[1] / totals[0])]))
     scorer = _fit_words(witnesses, others)
     # once more: witnesses that the first machine doesn't hold for ones go, and the others that it does come in
     kept = [w for w, v in zip(witnesses, scorer.values(witnesses), strict=True) if v > 0]
@@ -269,14 +292,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     if kept:
         scorer = _fit_words(kept, hard[:200] + others + hard[200:])
     judged = _highest(sample, scorer, "text", "_high").select("_label", "_high").toPandas()  # a few numbers for each sampled document
-    x = np.array(judged["_high"].tolist(), float).reshape(-1, TOP)
+    x = np.array(judged["_high"].tolist(), float).reshape(-1, INPUTS)
     return Model(scorer, _logistic(x, judged["_label"].to_numpy(float)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge; the values' weights are kept from falling below 0."""
     x = np.column_stack([x, np.ones(len(x))])
-    free = list(range(TOP + 1))
+    free = list(range(INPUTS + 1))
     while True:
         own, b = x[:, free], np.zeros(len(free))
         for _ in range(50):
@@ -286,10 +309,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             if np.abs(step).max() < 1e-8:
                 break
         if (b[:-1] >= 0).all():
-            beta = np.zeros(TOP + 1)
+            beta = np.zeros(INPUTS + 1)
             beta[free] = b
             return beta
-        free = [i for i, v in zip(free, b, strict=True) if i == TOP or v > 0]
+        free = [i for i, v in zip(free, b, strict=True) if i == INPUTS or v > 0]
 
 
 def _highest(docs: DataFrame, scorer: WordScorer, text_col: str, out: str) -> DataFrame:
@@ -307,7 +330,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     """``docs`` with a double column ``out``, 0 to 1."""
     out = free_name(docs, out)
     if model.scorer is None:
-        flat = 1 / (1 + np.exp(-model.curve[TOP])) if model.curve.any() else 0.0
+        flat = 1 / (1 + np.exp(-model.curve[-1])) if model.curve.any() else 0.0
         return docs.withColumn(out, F.lit(float(flat)))
 
     @arrow_udf("double")
