@@ -55,24 +55,30 @@ def size_of(text: Column) -> Column:
 def _hash(value: Column, key: Column) -> Column:
     """A whole number below PRIME; all steps stay within 63 bits."""
     one = (value % PRIME * 48271 + key) % PRIME
-    two = (one * one + one * 16807 + 12345) % PRIME
-    return (two * 69621 + one) % PRIME
+    return (one * (one + 16807) % PRIME * 69621 + 12345) % PRIME
 
 
-def _round(x: Column, n: Column, seed: Column, r: Column) -> Column:
-    key = (seed % PRIME * 16807 + r * 104729 + 77) % PRIME
-    # below PRIME squared, then below n
-    pivot = (_hash(key, F.lit(1)) * PRIME + _hash(key, F.lit(2))) % n
-    partner = (pivot + n - x) % n
-    bit = F.shiftright(_hash(F.greatest(x, partner), key), 15) % 2
-    return F.when(bit == 1, partner).otherwise(x)
+def turns(n: Column, seed: Column) -> Column:
+    """Key and pivot of each round of a permutation of [0, n): what doesn't depend on the place, so that it is made once for many."""
 
+    def one(r: Column) -> Column:
+        key = (seed % PRIME * 16807 + r * 104729 + 77) % PRIME
+        # below PRIME squared, then below n
+        pivot = (_hash(F.lit(1), key) * PRIME + _hash(F.lit(2), key)) % n
+        return F.struct(key.cast("long").alias("key"), pivot.cast("long").alias("pivot"))
 
-def permuted(x: Column, n: Column, seed: Column, backwards: bool = False) -> Column:
-    """Where a swap-or-not permutation of [0, n) sends x (or what it sends to x)."""
-    steps = range(ROUNDS)
-    rounds = F.array(*[F.lit(r) for r in (reversed(steps) if backwards else steps)])
-    return F.aggregate(rounds, x.cast("long"), lambda at, r: _round(at, n, seed, r))
+    return F.transform(F.array(*[F.lit(r).cast("long") for r in range(ROUNDS)]), one)
+
+
+def permuted(x: Column, n: Column, rounds: Column, backwards: bool = False) -> Column:
+    """Where a swap-or-not permutation of [0, n) sends x (or what it sends to x); ``rounds`` from :func:`turns`."""
+
+    def swapped(at: Column, t: Column) -> Column:
+        partner = (t["pivot"] + n - at) % n
+        bit = F.shiftright(_hash(F.greatest(at, partner), t["key"]), 15) % 2
+        return F.when(bit == 1, partner).otherwise(at)
+
+    return F.aggregate(F.reverse(rounds) if backwards else rounds, x.cast("long"), swapped)
 
 
 # ---------------------------------------------------------------- plan
@@ -88,21 +94,20 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """All output slots: shard, slot, source_no, pass_no, block."""
-        chunks = self.sources.filter(F.col("quota") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(quota - 1) div {CHUNK_SLOTS}"))))
-        spread = chunks.select("source_no", "blocks", "quota", "slots_before", "slots", "chunk").repartition("source_no", "chunk")
+        passes = self.sources.filter(F.col("quota") > 0).withColumn("pass_no", F.explode(F.expr("sequence(0L, (quota - 1) div blocks)")))
+        passes = passes.withColumn("here", F.least(F.col("blocks"), F.col("quota") - F.col("pass_no") * F.col("blocks")))
+        passes = passes.withColumn("deal", turns(F.col("slots"), F.lit(1))).withColumn("order", turns(F.col("blocks"), F.col("source_no") * 1009 + F.col("pass_no") + 2))
+        chunks = passes.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (here - 1) div {CHUNK_SLOTS})")))
+        spread = chunks.select("source_no", "pass_no", "blocks", "here", "slots_before", "slots", "chunk", "deal", "order").repartition("source_no", "pass_no", "chunk")
         first = F.col("chunk") * CHUNK_SLOTS
-        one = spread.withColumn("i", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("quota")) - 1)))
-        place = permuted(F.col("slots_before") + F.col("i"), F.col("slots"), F.lit(1), backwards=True)
-        return (
-            one.withColumn("pass_no", F.expr("i div blocks"))
-            .withColumn("place", place)
-            .select(
-                F.expr(f"place div {SHARD_SLOTS}").alias("shard"),
-                (F.col("place") % SHARD_SLOTS).alias("slot"),
-                "source_no",
-                "pass_no",
-                permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.col("source_no") * 1009 + F.col("pass_no") + 2).alias("block"),
-            )
+        one = spread.withColumn("i", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("here")) - 1)))
+        nth = F.col("slots_before") + F.col("pass_no") * F.col("blocks") + F.col("i")
+        return one.withColumn("place", permuted(nth, F.col("slots"), F.col("deal"), backwards=True)).select(
+            F.expr(f"place div {SHARD_SLOTS}").alias("shard"),
+            (F.col("place") % SHARD_SLOTS).alias("slot"),
+            "source_no",
+            "pass_no",
+            permuted(F.col("i"), F.col("blocks"), F.col("order")).alias("block"),
         )
 
     def pieces(self) -> DataFrame:
@@ -234,13 +239,13 @@ def oracle_sql() -> str:
 
     def hashed(value: str, key: str) -> str:
         one = f"((({value}) % {PRIME} * 48271 + ({key})) % {PRIME})"
-        return f"((({one} * {one} + {one} * 16807 + 12345) % {PRIME}) * 69621 + {one}) % {PRIME}"
+        return f"({one} * ({one} + 16807) % {PRIME} * 69621 + 12345) % {PRIME}"
 
     rounds, at = [], "u0"
     for r in range(ROUNDS):
         rounds.append(
             f"k{r} AS (SELECT *, (seed % {PRIME} * 16807 + {r * 104729 + 77}) % {PRIME} AS k FROM {at}), "
-            f"v{r} AS (SELECT *, ((({hashed('k', '1')}) * {PRIME} + ({hashed('k', '2')})) % n + n - x) % n AS p FROM k{r}), "
+            f"v{r} AS (SELECT *, ((({hashed('1', 'k')}) * {PRIME} + ({hashed('2', 'k')})) % n + n - x) % n AS p FROM k{r}), "
             f"u{r + 1} AS (SELECT source_no, n, seed, CASE WHEN (({hashed('greatest(x, p)', 'k')}) // 32768) % 2 = 1 THEN p ELSE x END AS x FROM v{r})"
         )
         at = f"u{r + 1}"
