@@ -13,7 +13,7 @@ equal sketches every node is aligned with the bucket's least node, its hub:
 as many pairs as rows. Those unlike their hub get a hub of their own, for
 ``HUB_ROUNDS`` rounds. Rows then still without a hub like them, and not yet in
 one component, are compared with one another in their bucket, exactly: by the
-share of equal sketches in blocks of rows, then by alignment. So a large group
+share of equal sketches and by word counts in blocks of rows, then by alignment. So a large group
 of copies costs one pair a row, and a passage that many unlike texts share
 costs no link.
 
@@ -51,6 +51,8 @@ HUB_ROUNDS = 3
 BLOCK_ROWS = 1024
 #: Equal sketches that two nodes of a bucket need before they are aligned, where neither is the hub.
 AGREEING = 3
+#: Bins of the word counts that tell unlike texts apart before they are aligned.
+BAG = 128
 
 _rng = np.random.default_rng(20240501)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -237,10 +239,28 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-@arrow_udf(T.ArrayType(T.LongType()))
+def bag(codes: np.ndarray) -> bytes:
+    """Words counted in BAG bins, each up to 255: what of one bag is not in another is a lower bound of the edit distance."""
+    return np.minimum(np.bincount(codes % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
+
+
+_SKETCHED = T.StructType(
+    [T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("bag", T.BinaryType()), T.StructField("n_words", T.IntegerType())]
+)
+
+
+@arrow_udf(_SKETCHED)
 def _sketches(texts: pa.Array) -> pa.Array:
-    found = [sketch(word_codes(t)) for t in texts.to_pylist()]
-    return pa.array([None if s is None else s.view(np.int64) for s in found], pa.list_(pa.int64()))
+    codes = [word_codes(t) for t in texts.to_pylist()]
+    found = [sketch(c) for c in codes]
+    return pa.StructArray.from_arrays(
+        [
+            pa.array([None if s is None else s.view(np.int64) for s in found], pa.list_(pa.int64())),
+            pa.array([bag(c) for c in codes], pa.binary()),
+            pa.array([len(c) for c in codes], pa.int32()),
+        ],
+        ["sketches", "bag", "n_words"],
+    )
 
 
 @arrow_udf(T.BinaryType())
@@ -262,9 +282,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.select("a", "b", linked(F.col("codes_a"), F.col("codes_b")).alias("linked"))
 
 
-def _leftover_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+def _leftover_pairs(rows: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of rows (key, node, label) of a bucket with different labels that agree in enough sketches, block by block.
 
+    Pairs whose bags of words rule the similarity out don't come back, so a
+    passage that many unlike texts share gives no pairs.
     A bucket's rows are dealt to blocks of BLOCK_ROWS; each pair of blocks is a
     group of its own, so that no group grows with the bucket.
     """
@@ -281,6 +303,8 @@ def _leftover_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         nodes, block, label = (group[c].to_numpy() for c in ("node", "block", "label"))
         signs = np.stack(group["sketches"].to_numpy())
+        bags = np.frombuffer(b"".join(group["bag"]), np.uint8).reshape(len(group), BAG).astype(np.int16)
+        n_words = group["n_words"].to_numpy()
         low, high = group["low"].iloc[0], group["high"].iloc[0]
         first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
         out = []
@@ -288,8 +312,11 @@ def _leftover_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
             others = second[label[second] != label[i]]
             if low == high:
                 others = others[nodes[others] > nodes[i]]
-            agree = (signs[others] == signs[i]).sum(axis=1) >= AGREEING
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others[agree]]
+            others = others[(signs[others] == signs[i]).sum(axis=1) >= AGREEING]
+            more = bags[others] - bags[i]
+            off = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+            others = others[off <= np.floor(np.maximum(n_words[others], n_words[i]) * (1 - similarity) + 1e-9)]
+            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("key", "low", "high").applyInPandas(compared, "a long, b long").distinct()
@@ -321,9 +348,9 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (id, node), one for each document, and (node, label) of the linked nodes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = staged(rows.select("id", node_of(F.col("text")).alias("node"), _sketches(F.col("text")).alias("sketches")), "sketches")
-    sketches = rows.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"))
-    sketches = staged(sketches, "nodes")
+    rows = staged(rows.select("id", node_of(F.col("text")).alias("node"), _sketches.asNondeterministic()(F.col("text")).alias("s")).select("id", "node", "s.*"), "sketches")
+    held = rows.filter(F.col("sketches").isNotNull()).groupBy("node")
+    sketches = staged(held.agg(*[F.first(c).alias(c) for c in ("sketches", "bag", "n_words")]), "nodes")
     bands = sketches.select("node", F.posexplode("sketches").alias("band", "sketch"))
     bands = bands.select(F.xxhash64("band", "sketch").alias("key"), "node")
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "hub")
@@ -349,7 +376,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     linked = components(links)
     # what is still with rows unlike it: only rows of different components can be news to one another
     left = left.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    more = staged(_verified(_leftover_pairs(left, sketches), texts, similarity).filter("linked").select("a", "b"), "links")
+    more = staged(_verified(_leftover_pairs(left, sketches, similarity), texts, similarity).filter("linked").select("a", "b"), "links")
     if more.limit(1).count():
         linked = components(links.union(more))
     return rows.select("id", "node"), linked
