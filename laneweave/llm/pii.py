@@ -35,6 +35,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"crf-{k}" for k in BASE))
 CERTAIN = 0.9
 ROUNDS = 8
+#: Least log-odds with which tokens that are alike have one kind.
+SKIP = 6.0
 #: Documents that the weights are learned from, about.
 TRAIN_DOCS = 3000
 OUTSIDE = len(BASE)
@@ -139,13 +141,15 @@ class Tokens:
         self.spans: list[tuple[int, int]] = []
         self.cores: list[str] = []
         self.clamped: list[int] = []
+        self.whole: list[tuple[str, int]] = []  # digits of each base span, and its last token
         self.near: list[bool] = []  # does the token follow the one before without another between?
         i, last = 0, -2
         for number, m in enumerate(_TOKEN.finditer(text)):
             begin, end = m.span()
             while i < len(base) and base[i][2] <= begin:
                 i += 1
-            label = next((k for b, k, e in base[i : i + 4] if b < end and begin < e), -1)
+            over = next((s for s in base[i : i + 4] if s[0] < end and begin < s[2]), None)
+            label = -1 if over is None else over[1]
             token = m.group()
             if label < 0 and "@" not in token and not _DIGIT.search(token):
                 continue
@@ -155,24 +159,25 @@ class Tokens:
             self.clamped.append(label)
             self.near.append(number == last + 1)
             last = number
+            if over is not None and over[2] <= end:
+                self.whole.append((_NOT_DIGIT.sub("", text[over[0] : over[2]]), len(self.cores) - 1))
         self.digits = [_NOT_DIGIT.sub("", c) for c in self.cores]
 
     def links(self) -> list[tuple[int, int]]:
-        """Skip links: each token to the next of equal core; free ones to a clamped one that their digits end or begin.
+        """Skip links: each token to the next of equal core; free ones to a base span that their digits end or begin.
 
-        Affixes of clamped digits are looked up by length, so links grow with the tokens.
+        Affixes of base spans' digits are looked up, so links grow with the tokens.
         """
         out, seen = [], {}
         affixes: dict[str, int] = {}
-        for i, (core, label) in enumerate(zip(self.cores, self.clamped, strict=True)):
+        for i, core in enumerate(self.cores):
             if core in seen:
                 out.append((seen[core], i))
             seen[core] = i
-            if label >= 0 and len(self.digits[i]) >= 7:
-                d = self.digits[i][:40]
-                for n in range(7, len(d) + 1):
-                    affixes.setdefault(d[:n], i)
-                    affixes.setdefault(d[-n:], i)
+        for d, i in self.whole:
+            for n in range(7, min(len(d), 40) + 1):
+                affixes.setdefault(d[:n], i)
+                affixes.setdefault(d[-n:], i)
         for i, (d, label) in enumerate(zip(self.digits, self.clamped, strict=True)):
             if label < 0 and 7 <= len(d) <= 40 and d in affixes and affixes[d] != i:
                 out.append((affixes[d], i))
@@ -245,10 +250,13 @@ def _observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not base:
                 continue
             t = Tokens(text, base)
+            links = t.links()
+            # a free token that is like one under a base span has no label to learn from
+            open_ = {i for a, b in links for i, j in ((a, b), (b, a)) if t.clamped[i] < 0 <= t.clamped[j]}
             labels = [k if k >= 0 else OUTSIDE for k in t.clamped]
-            rows += [("unary", k, 0, int(features(c) @ (1 << np.arange(FEATURES)))) for c, k in zip(t.cores, labels, strict=True)]
-            rows += [("chain", labels[i - 1], labels[i], 0) for i in range(1, len(labels)) if t.near[i]]
-            rows += [("skip", labels[i], labels[j], 0) for i, j in t.links()]
+            rows += [("unary", k, 0, int(features(c) @ (1 << np.arange(FEATURES)))) for i, (c, k) in enumerate(zip(t.cores, labels, strict=True)) if i not in open_]
+            rows += [("chain", labels[i - 1], labels[i], 0) for i in range(1, len(labels)) if t.near[i] and not {i - 1, i} & open_]
+            rows += [("skip", labels[i], labels[j], 0) for i, j in links if not {i, j} & open_]
         yield pd.DataFrame(rows, columns=["kind", "a", "b", "bits"])
 
 
@@ -302,10 +310,10 @@ def _pointwise(counts: np.ndarray) -> np.ndarray:
 
 
 def _agreement(counts: np.ndarray) -> np.ndarray:
-    """As above; agreement of kinds at least as strong as of base spans that repeat, whatever the sample."""
+    """As above; agreement of kinds is strong whatever the sample, so that a likeness outweighs a token's looks."""
     out = _pointwise(counts)
     kinds = np.arange(len(counts)) < OUTSIDE
-    return np.where(np.eye(len(counts), dtype=bool) & kinds, np.maximum(out, 2.5), np.minimum(out, 2.5))
+    return np.where(np.eye(len(counts), dtype=bool) & kinds, np.maximum(out, SKIP), np.minimum(out, SKIP))
 
 
 # ---------------------------------------------------------------- columns
