@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows(records):
@@ -22,6 +23,7 @@ def duck(sf_dir):
 
 def assert_same(df, sql, sf_dir):
     frame = duck(sf_dir).execute(sql).df()
-    theirs = [{c: None if v is None or v != v else v.item() if hasattr(v, "item") else v for c, v in zip(frame.columns, r, strict=True)} for r in frame.itertuples(index=False)]
+    plain = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else v.item() if hasattr(v, "item") else v
+    theirs = [{c: plain(v) for c, v in zip(frame.columns, r, strict=True)} for r in frame.itertuples(index=False)]
     ours = [r.asDict() for r in df.collect()]
     assert rows(ours) == rows(theirs)
