@@ -222,6 +222,20 @@ def tag_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.distinct_values(lens.alignments(spark, sf_dir), "rg")
 
 
+@_query("tag_lookup", _with("SELECT ordinal, rg, CAST(ordinal % 256 AS VARCHAR) AS nm, 'i,1,-1' AS ba, true AS valid, CASE WHEN rg IS NOT NULL THEN 'Z' END AS rg_type FROM aln"))
+def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values found in aux sections that are packed byte by byte."""
+    from .functions import tags
+
+    text = lambda s: F.hex(F.lit(s))
+    group = F.when(F.col("rg").isNotNull(), F.concat(text("RGZ"), F.hex("rg"), F.lit("00"))).otherwise("")
+    number = F.concat(text("NMC"), F.lpad(F.hex(F.col("ordinal") % 256), 2, "0"))
+    array = F.concat(text("BaBi"), F.lit("0200000001000000FFFFFFFF"))
+    aln = lens.alignments(spark, sf_dir).withColumn("aux", F.unhex(F.concat(group, number, array)))
+    value = lambda t: tags.tag_value(F.col("aux"), t).cast("string")
+    return aln.select("ordinal", value("RG").alias("rg"), value("NM").alias("nm"), value("Ba").alias("ba"), tags.tags_valid(F.col("aux"), True).alias("valid"), tags.tag_type(F.col("aux"), "RG").alias("rg_type"))
+
+
 @_query("shard_coherence", _with("SELECT qname, 1 AS shards, count(*) AS n FROM aln GROUP BY qname"))
 def shard_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = routing.emissions(routing.route_shard(lens.alignments(spark, sf_dir), F.col("qname"), 16))
