@@ -27,16 +27,14 @@ PENALTIES = (0.3, 0.1, 0.03, 0.01)
 MAX_RULES = 60
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The named statistics of a text. Several are shares of its characters or words."""
+def statistics(text: Column, words_col: str) -> dict[str, Column]:
+    """The named statistics of a text whose words are in ``words_col``. Several are shares of its characters or words."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    held = F.col("_words")
+    held = F.col(words_col)
     w = F.greatest(F.size(held), F.lit(1)).cast("double")
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
     return {
-        "_words": words,
         "words": F.size(held).cast("double"),
         "word_length": F.length(t) / w,
         "upper": left(r"[^\p{Lu}]+") / n,
@@ -54,13 +52,12 @@ NAMES = ("words", "word_length", "upper", "symbols", "digits", "distinct", "shor
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with a column for each statistic; their names by statistic."""
-    made = statistics(F.col(text_col))
     words = free_name(docs, "_words")
-    out = docs.withColumn(words, made.pop("_words"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = docs.withColumn(words, F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    made = statistics(F.col(text_col), words)
     names = {k: free_name(out, f"_stat_{k}") for k in made}
-    source = out.withColumnRenamed(words, "_words") if words != "_words" else out
-    source = source.select("*", *[c.alias(names[k]) for k, c in made.items()])
-    return source.drop("_words"), names
+    return out.select("*", *[c.alias(names[k]) for k, c in made.items()]).drop(words), names
 
 
 # ---------------------------------------------------------------- trees and rules
