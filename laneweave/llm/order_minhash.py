@@ -87,12 +87,11 @@ def sketch(codes: np.ndarray) -> np.ndarray | None:
         kmers = _mixed(kmers + wide[i : n - k + 1 + i] * _WORD[i])
     order = np.argsort(kmers, kind="stable")
     same = np.concatenate(([False], kmers[order][1:] == kmers[order][:-1]))
-    if same.any():  # number the occurrences in text order
-        at = np.arange(len(kmers))
-        first = np.maximum.accumulate(np.where(same, 0, at))
-        number = np.empty(len(kmers), np.uint64)
-        number[order] = (at - first).astype(np.uint64)
-        kmers = _mixed(kmers + number * _WORD[0])
+    at = np.arange(len(kmers))
+    first = np.maximum.accumulate(np.where(same, 0, at))
+    number = np.empty(len(kmers), np.uint64)  # of the occurrence, in text order
+    number[order] = (at - first).astype(np.uint64)
+    kmers = _mixed(kmers + number * _WORD[0])
     best = second = None
     for start in range(0, len(kmers), _AT_ONCE):
         part = kmers[start : start + _AT_ONCE]
