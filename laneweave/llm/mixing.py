@@ -98,7 +98,11 @@ class Mix:
         passes = passes.withColumn("here", F.least(F.col("blocks"), F.col("quota") - F.col("pass_no") * F.col("blocks")))
         passes = passes.withColumn("deal", turns(F.col("slots"), F.lit(1))).withColumn("order", turns(F.col("blocks"), F.col("source_no") * 1009 + F.col("pass_no") + 2))
         chunks = passes.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (here - 1) div {CHUNK_SLOTS})")))
-        spread = chunks.select("source_no", "pass_no", "blocks", "here", "slots_before", "slots", "chunk", "deal", "order").repartition("source_no", "pass_no", "chunk")
+        spread = chunks.select("source_no", "pass_no", "blocks", "here", "slots_before", "slots", "chunk", "deal", "order")
+        # a few bytes a row here, many slots after: a number of partitions of their own, which isn't coalesced
+        total = self.sources.agg(F.max("slots")).first()[0] or 0
+        most = int(self.sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = spread.repartition(max(1, min(most, total // CHUNK_SLOTS)), "source_no", "pass_no", "chunk")
         first = F.col("chunk") * CHUNK_SLOTS
         one = spread.withColumn("i", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("here")) - 1)))
         nth = F.col("slots_before") + F.col("pass_no") * F.col("blocks") + F.col("i")
