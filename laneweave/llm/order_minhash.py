@@ -1,10 +1,14 @@
 """Near-duplicate classes by Order MinHash.
 
 A text is the sequence of its words (A-Z folded to a-z; runs of letters,
-digits and code points above 0x7F). Its k-mers of five words are labelled
+digits and code points above 0x7F). Its k-mers of ``K`` words are labelled
 with their occurrence number. Each of ``SKETCHES`` hash functions picks the
 ``PICKED`` k-mers of least hash and keeps their order in the text; texts with
-an equal sketch are candidates. A candidate pair is a link if a banded
+an equal sketch are candidates. Texts of up to ``SHORT`` words, of which few
+k-mers outlive an edit, have ``SHORT_SKETCHES`` more, of single words; two
+texts as alike as ``SIMILARITY`` have at least one kind in common, whatever
+their lengths, and it is dense enough for edits at that bound, also where they
+are spread evenly. A candidate pair is a link if a banded
 alignment of the two word sequences finds an edit similarity
 ``1 - distance / longer length`` of at least ``SIMILARITY``.
 
@@ -39,10 +43,13 @@ from pyspark.sql.functions import arrow_udf
 from .common import free_name, staged
 from .decontaminate import words_of
 
-K = 5
-SKETCHES = 32
-PICKED = 2
+K = 2
+SKETCHES = 64
+PICKED = 3
 SIMILARITY = 0.8
+#: Words up to which a text also has sketches of single words, and their number.
+SHORT = 40
+SHORT_SKETCHES = 32
 #: Edits up to which the narrow band is tried.
 NARROW = 12
 #: Rounds in which a bucket's rows that aren't like its hub get a hub of their own.
@@ -57,10 +64,10 @@ BAG = 128
 _rng = np.random.default_rng(20240501)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2)
-_WORD = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORD = _rng.integers(0, 1 << 63, max(K, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: k-mers hashed by all functions at once.
-_AT_ONCE = 1 << 16
+_AT_ONCE = 1 << 14
 
 # ---------------------------------------------------------------- sketches
 
@@ -75,12 +82,12 @@ def word_codes(text: str | None) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
-def sketch(codes: np.ndarray) -> np.ndarray | None:
+def sketch(codes: np.ndarray, k: int = K, sketches: int = SKETCHES) -> np.ndarray | None:
     """The sketches of a word sequence, or None if it has no word."""
     n = len(codes)
     if not n:
         return None
-    k = min(K, n)
+    k = min(k, n)
     wide = codes.astype(np.uint64)
     kmers = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
@@ -92,31 +99,29 @@ def sketch(codes: np.ndarray) -> np.ndarray | None:
     number = np.empty(len(kmers), np.uint64)  # of the occurrence, in text order
     number[order] = (at - first).astype(np.uint64)
     kmers = _mixed(kmers + number * _WORD[0])
-    best = second = None
+    odd, add = _ODD[:sketches], _ADD[:sketches]
+    least, places = np.empty((sketches, 0), np.uint64), np.empty((sketches, 0), np.int64)
     for start in range(0, len(kmers), _AT_ONCE):
         part = kmers[start : start + _AT_ONCE]
-        hashed = _ODD[:, None] * part + _ADD[:, None]
+        hashed = odd[:, None] * part + add[:, None]
         hashed ^= hashed >> np.uint64(32)
-        rows = np.arange(SKETCHES)
-        for _ in range(min(PICKED, len(part))):
-            at = hashed.argmin(axis=1)
-            found = hashed[rows, at], at + start
-            hashed[rows, at] = np.iinfo(np.uint64).max
-            if best is None:
-                best = found
-            else:
-                lower = found[0] < best[0]
-                displaced = np.where(lower, best[0], found[0]), np.where(lower, best[1], found[1])
-                best = np.where(lower, found[0], best[0]), np.where(lower, found[1], best[1])
-                if second is None:
-                    second = displaced
-                else:
-                    lower = displaced[0] < second[0]
-                    second = np.where(lower, displaced[0], second[0]), np.where(lower, displaced[1], second[1])
-    if second is None:
-        return _mixed(kmers[best[1]] + _ADD)
-    early, late = np.minimum(best[1], second[1]), np.maximum(best[1], second[1])
-    return _mixed(_mixed(kmers[early] + _ADD) * _WORD[1] + kmers[late])
+        least = np.concatenate([least, hashed], axis=1)
+        places = np.concatenate([places, np.broadcast_to(np.arange(start, start + len(part)), hashed.shape)], axis=1)
+        if least.shape[1] > PICKED:
+            picked = np.argpartition(least, PICKED - 1, axis=1)[:, :PICKED]
+            least, places = np.take_along_axis(least, picked, 1), np.take_along_axis(places, picked, 1)
+    found = add.copy()
+    for place in np.sort(places, axis=1).T:
+        found = _mixed(found * _WORD[1] + kmers[place])
+    return found
+
+
+def all_sketches(codes: np.ndarray) -> np.ndarray | None:
+    """Sketches of K-mers, and of single words behind them where the text is short."""
+    found = sketch(codes)
+    if found is None or len(codes) > SHORT:
+        return found
+    return np.concatenate([found, sketch(codes, 1, SHORT_SKETCHES)])
 
 
 # ---------------------------------------------------------------- alignment
@@ -251,7 +256,7 @@ _SKETCHED = T.StructType(
 @arrow_udf(_SKETCHED)
 def _sketches(texts: pa.Array) -> pa.Array:
     codes = [word_codes(t) for t in texts.to_pylist()]
-    found = [sketch(c) for c in codes]
+    found = [all_sketches(c) for c in codes]
     return pa.StructArray.from_arrays(
         [
             pa.array([None if s is None else s.view(np.int64) for s in found], pa.list_(pa.int64())),
@@ -301,7 +306,9 @@ def _leftover_pairs(rows: DataFrame, sketches: DataFrame, similarity: float = SI
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         nodes, block, label = (group[c].to_numpy() for c in ("node", "block", "label"))
-        signs = np.stack(group["sketches"].to_numpy())
+        signs = np.repeat(nodes[:, None], SKETCHES + SHORT_SKETCHES, axis=1)  # what a row has no sketch for equals no other's
+        for at, own in enumerate(group["sketches"]):
+            signs[at, : len(own)] = own
         bags = np.frombuffer(b"".join(group["bag"]), np.uint8).reshape(len(group), BAG).astype(np.int16)
         n_words = group["n_words"].to_numpy()
         low, high = group["low"].iloc[0], group["high"].iloc[0]

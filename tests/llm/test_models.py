@@ -311,6 +311,30 @@ def test_sketches_see_order():
     assert len(om.sketch(words[:1])) == om.SKETCHES and (om.sketch(np.zeros(500, np.uint32)) == om.sketch(np.zeros(500, np.uint32))).all()
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_sketches_find_links_with_scattered_edits(even):
+    from laneweave.llm import order_minhash as om
+
+    rng = random.Random(41)
+    found = links = 0
+    for n, edits in [(200, 40), (200, 30), (60, 12), (60, 9), (50, 10), (41, 8), (40, 8), (33, 6), (30, 6), (20, 4), (15, 3), (10, 2), (8, 1), (6, 1), (5, 1)]:
+        hits = 0
+        for _ in range(100):
+            a = [rng.randrange(1 << 32) for _ in range(n)]
+            b = list(a)
+            for at in [(2 * i + 1) * n // (2 * edits) for i in range(edits)] if even else rng.sample(range(n), edits):
+                b[at] = rng.randrange(1 << 32)
+            a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+            assert om.alike(a, b)
+            ours, theirs = om.all_sketches(a), om.all_sketches(b)
+            least = min(len(ours), len(theirs))
+            hits += bool((ours[:least] == theirs[:least]).any())
+        assert hits >= 93, (n, edits)
+        found, links = found + hits, links + 100
+    print("candidates", found, "of", links)
+    assert found >= 0.985 * links
+
+
 # ---------------------------------------------------------------- personal data
 
 
