@@ -16,8 +16,8 @@ Equal texts are one node from the start, whatever their number. In a bucket of
 equal sketches every node is aligned with the bucket's least node, its hub:
 as many pairs as rows. Those unlike their hub get a hub of their own, for
 ``HUB_ROUNDS`` rounds. Rows then still without a hub like them, and not yet in
-one component, are compared with one another in their bucket, exactly: by the
-share of equal sketches and by word counts in blocks of rows, then by alignment. So a large group
+one component, are compared with one another in their bucket, exactly: by a
+bound from word counts in blocks of rows, then by alignment. So a large group
 of copies costs one pair a row, and a passage that many unlike texts share
 costs no link.
 
@@ -56,8 +56,8 @@ NARROW = 12
 HUB_ROUNDS = 3
 #: Rows of a bucket that a task compares with one another at once.
 BLOCK_ROWS = 1024
-#: Equal sketches that two nodes of a bucket need before they are aligned, where neither is the hub.
-AGREEING = 3
+#: Equal sketches that two nodes of a bucket need before they are aligned, where neither is the hub: the bucket's own.
+AGREEING = 1
 #: Bins of the word counts that tell unlike texts apart before they are aligned.
 BAG = 128
 

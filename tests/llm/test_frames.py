@@ -215,6 +215,16 @@ def test_leftovers_of_a_bucket_are_compared(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted((a, b) for a in range(1, 7) for b in range(a + 1, 7) if a % 3 == b % 3)
 
 
+def test_leftovers_need_one_equal_sketch(spark):
+    from laneweave.llm import order_minhash as om
+
+    bag = om.bag(np.arange(40, dtype=np.uint32))
+    sketches = [(n, [7] + [100 * n + i for i in range(1, om.SKETCHES)], bag, 40) for n in (1, 2)]
+    kind = "node long, sketches array<bigint>, bag binary, n_words int"
+    got = om._leftover_pairs(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "key long, node long, label long"), spark.createDataFrame(sketches, kind))
+    assert [(r["a"], r["b"]) for r in got.collect()] == [(1, 2)]
+
+
 def test_components(spark):
     from laneweave.llm import order_minhash as om
 
