@@ -15,11 +15,11 @@ alignment of the two word sequences finds an edit similarity
 Equal texts are one node from the start, whatever their number. In a bucket of
 equal sketches every node is aligned with the bucket's least node, its hub:
 as many pairs as rows. Those unlike their hub get a hub of their own, for
-``HUB_ROUNDS`` rounds. Rows then still without a hub like them, and not yet in
-one component, are compared with one another in their bucket, exactly: by a
-bound from word counts in blocks of rows, then by alignment. So a large group
-of copies costs one pair a row, and a passage that many unlike texts share
-costs no link.
+``HUB_ROUNDS`` rounds. Then all rows of a bucket that are not yet in one
+component are compared with one another, whether they were like a hub or not,
+exactly: by a bound from word counts in blocks of rows, then by alignment. So a
+large group of copies costs one pair a row, and a passage that many unlike
+texts share costs no link.
 
 Classes are the connected components of links; their id is the least document
 id in them. Null texts count as empty, and texts without words are linked to
@@ -55,7 +55,9 @@ NARROW = 12
 #: Rounds in which a bucket's rows that aren't like its hub get a hub of their own.
 HUB_ROUNDS = 3
 #: Rows of a bucket that a task compares with one another at once.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
+#: Rows that a task of such comparisons takes, about.
+CELL_ROWS = 20_000
 #: Equal sketches that two nodes of a bucket need before they are aligned, where neither is the hub: the bucket's own.
 AGREEING = 1
 #: Bins of the word counts that tell unlike texts apart before they are aligned.
@@ -286,46 +288,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.select("a", "b", linked(F.col("codes_a"), F.col("codes_b")).alias("linked"))
 
 
-def _leftover_pairs(rows: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _leftover_pairs(rows: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY, judged: DataFrame | None = None) -> DataFrame:
     """Pairs of rows (key, node, label) of a bucket with different labels that agree in enough sketches, block by block.
 
     Pairs whose bags of words rule the similarity out don't come back, so a
-    passage that many unlike texts share gives no pairs.
-    A bucket's rows are dealt to blocks of BLOCK_ROWS; each pair of blocks is a
-    group of its own, so that no group grows with the bucket.
+    passage that many unlike texts share gives no pairs; nor do those of ``judged``.
+    A bucket's rows are dealt to blocks of BLOCK_ROWS; each pair of blocks is
+    compared by itself, so that no task grows with the bucket. Small buckets
+    share a cell of about CELL_ROWS rows.
     """
-    numbered = rows.withColumn("block", F.expr(f"(row_number() over (partition by key order by node) - 1) div {BLOCK_ROWS}"))
-    blocks = numbered.groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
+    numbered = staged(
+        rows.join(mixed, "key").withColumn("block", F.expr(f"(row_number() over (partition by key order by label, node) - 1) div {BLOCK_ROWS}")), "mixed"
+    )
+    blocks = numbered.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     dealt = (
-        numbered.join(blocks.filter(F.col("least") < F.col("most")), "key")
+        numbered.join(blocks, "key")
         .withColumn("other", other)
-        .select("key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .join(sketches, "node")
+        .select("key", "node", "label", F.col("block").cast("int").alias("block"), F.least("block", "other").cast("int").alias("low"), F.greatest("block", "other").cast("int").alias("high"))
     )
+    cells = dealt.count() // CELL_ROWS + 1
+    dealt = dealt.withColumn("cell", F.expr(f"pmod(xxhash64(key, low, high), {cells})")).join(sketches.select("node", "bag", "n_words"), "node")
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, block, label = (group[c].to_numpy() for c in ("node", "block", "label"))
-        signs = np.repeat(nodes[:, None], SKETCHES + SHORT_SKETCHES, axis=1)  # what a row has no sketch for equals no other's
-        for at, own in enumerate(group["sketches"]):
-            signs[at, : len(own)] = own
-        bags = np.frombuffer(b"".join(group["bag"]), np.uint8).reshape(len(group), BAG).astype(np.int16)
-        n_words = group["n_words"].to_numpy()
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        group = group.sort_values(["key", "low", "high"], kind="stable")
+        nodes, block, label, n_words = (group[c].to_numpy() for c in ("node", "block", "label", "n_words"))
+        bags = np.frombuffer(b"".join(group["bag"]), np.uint8).reshape(len(group), BAG)
+        totals = bags.sum(axis=1, dtype=np.int64)
+        low, high = group["low"].to_numpy(), group["high"].to_numpy()
+        names = group[["key", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1)))) if len(names) else np.empty(0, np.int64)
         out = []
-        for i in first:
-            others = second[label[second] != label[i]]
-            if low == high:
-                others = others[nodes[others] > nodes[i]]
-            others = others[(signs[others] == signs[i]).sum(axis=1) >= AGREEING]
-            more = bags[others] - bags[i]
-            off = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-            others = others[off <= np.floor(np.maximum(n_words[others], n_words[i]) * (1 - similarity) + 1e-9)]
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "low", "high").applyInPandas(compared, "a long, b long").distinct()
+        for start, end in zip(starts, np.append(starts[1:], len(names)), strict=True):
+            at = np.arange(start, end)
+            first, second = at[block[at] == low[start]], at[block[at] == high[start]]
+            for i in first:
+                others = second[label[second] != label[i]]
+                if low[start] == high[start]:
+                    others = others[nodes[others] > nodes[i]]
+                limit = np.floor(np.maximum(n_words[others], n_words[i]) * (1 - similarity) + 1e-9)
+                near = np.abs(n_words[others] - n_words[i]) <= limit
+                others, limit = others[near], limit[near]
+                # the more words of the two bags, less those in both
+                off = np.maximum(totals[others], totals[i]) - np.minimum(bags[others], bags[i]).sum(axis=1, dtype=np.uint16)
+                others = others[off <= limit]
+                out.append(np.stack([np.minimum(nodes[others], nodes[i]), np.maximum(nodes[others], nodes[i])], axis=1))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    pairs = dealt.groupBy("cell").applyInPandas(compared, "a long, b long").distinct()
+    if judged is not None:
+        pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    own = [sketches.select(F.col("node").alias(n), F.col("sketches").alias(f"sketches_{n}")) for n in ("a", "b")]
+    agreeing = F.size(F.filter(F.zip_with("sketches_a", "sketches_b", lambda x, y: x == y), lambda same: same))
+    return pairs.join(own[0], "a").join(own[1], "b").filter(agreeing >= AGREEING).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -361,6 +378,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     bands = bands.select(F.xxhash64("band", "sketch").alias("key"), "node")
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "hub")
     met = staged(bands.join(hubs, "key").filter(F.col("node") != F.col("hub")), "buckets")  # rows of buckets with company
+    every = met
     needed = met.select("node").union(met.select(F.col("hub").alias("node"))).distinct()
     texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(needed, "node", "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _codes(F.col("text")).alias("codes"))
@@ -372,17 +390,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         new = staged(_verified(pairs, texts, similarity), "judged")
         judged = new if judged is None else judged.union(new)
-        unlike = judged.filter(~F.col("linked")).select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        left = met.join(unlike, ["hub", "node"], "left_semi").select("key", "node")
         if number == HUB_ROUNDS - 1:
             break
+        unlike = judged.filter(~F.col("linked")).select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        left = met.join(unlike, ["hub", "node"], "left_semi").select("key", "node")
         heads = left.groupBy("key").agg(F.min("node").alias("hub"))
         met = staged(left.join(heads, "key").filter(F.col("node") != F.col("hub")), "buckets")
     links = judged.filter("linked").select("a", "b")
     linked = components(links)
-    # what is still with rows unlike it: only rows of different components can be news to one another
+    # all rows of a bucket with one unlike its hub, the hub as well: only rows of different components can be news to one another
+    crowded = every.groupBy("key").agg(F.min("hub").alias("node"), F.count("*").alias("n")).filter("n > 1").select("key", "node")
+    left = every.select("key", "node").join(crowded.select("key"), "key").union(crowded)
     left = left.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    more = staged(_verified(_leftover_pairs(left, sketches, similarity), texts, similarity).filter("linked").select("a", "b"), "links")
+    more = staged(_verified(_leftover_pairs(left, sketches, similarity, judged), texts, similarity).filter("linked").select("a", "b"), "links")
     if more.limit(1).count():
         linked = components(links.union(more))
     return rows.select("id", "node"), linked

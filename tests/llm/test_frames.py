@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from compare import assert_same
+from pyspark.sql import functions as F
 
 from laneweave.llm import queries as llm
 
@@ -225,6 +226,42 @@ def test_leftovers_need_one_equal_sketch(spark):
     assert [(r["a"], r["b"]) for r in got.collect()] == [(1, 2)]
 
 
+def test_rows_unlike_the_hub_meet_those_like_it(spark, monkeypatch):
+    from laneweave.llm import order_minhash as om
+
+    rng = random.Random(43)
+    h = [f"v{rng.randrange(5000)}" for _ in range(100)]
+    a = [f"x{i}" if i % 6 == 0 else w for i, w in enumerate(h)]  # 17 edits of 100 words
+    b = [f"y{i}" if i % 16 == 3 else w for i, w in enumerate(a)]  # 6 more
+    texts = [" ".join(t) for t in (h, a, b)]
+    words = [om.word_codes(t) for t in texts]
+    assert om.alike(words[0], words[1]) and om.alike(words[1], words[2]) and not om.alike(words[0], words[2])
+    # one bucket with all three, h its hub: only the comparison after the rounds can link the two copies
+    for salt in range(100):  # other nodes, same words
+        least = [texts[0] + "," * salt, *texts[1:]]
+        nodes = [r["n"] for r in spark.createDataFrame([(t,) for t in least], "t string").select(om.node_of(F.col("t")).alias("n")).collect()]
+        if nodes[0] == min(nodes):
+            break
+    one = np.arange(om.SKETCHES + om.SHORT_SKETCHES, dtype=np.uint64)
+    monkeypatch.setattr(om, "_sketches", _one_bucket(om, one))
+    df = spark.createDataFrame(list(enumerate(least)), "doc_id long, text string")
+    assert {r["class_id"] for r in om.near_duplicates(df).collect()} == {0}
+
+
+def _one_bucket(om, sketches):
+    @F.arrow_udf(om._SKETCHED)
+    def same(texts):
+        import pyarrow as pa
+
+        codes = [om.word_codes(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([sketches.view(np.int64)] * len(codes), pa.list_(pa.int64())), pa.array([om.bag(c) for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())],
+            ["sketches", "bag", "n_words"],
+        )
+
+    return same
+
+
 def test_components(spark):
     from laneweave.llm import order_minhash as om
 
