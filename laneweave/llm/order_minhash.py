@@ -399,9 +399,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = judged.filter("linked").select("a", "b")
     linked = components(links)
     # all rows of a bucket with one unlike its hub, the hub as well: only rows of different components can be news to one another
-    crowded = every.groupBy("key").agg(F.min("hub").alias("node"), F.count("*").alias("n")).filter("n > 1").select("key", "node")
+    crowded = staged(every.groupBy("key").agg(F.min("hub").alias("node"), F.count("*").alias("n")).filter("n > 1").select("key", "node"), "crowded")
     left = every.select("key", "node").join(crowded.select("key"), "key").union(crowded)
-    left = left.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    left = staged(left.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
     more = staged(_verified(_leftover_pairs(left, sketches, similarity, judged), texts, similarity).filter("linked").select("a", "b"), "links")
     if more.limit(1).count():
         linked = components(links.union(more))
