@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; texts are long, so batches are kept short.
+#: Rows and bytes in one Arrow batch; texts are long, so batches are kept short.
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -22,6 +23,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the text that one Arrow batch carries."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

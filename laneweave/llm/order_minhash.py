@@ -14,12 +14,12 @@ alignment of the two word sequences finds an edit similarity
 
 Equal texts are one node from the start, whatever their number. In a bucket of
 equal sketches every node is aligned with the bucket's least node, its hub:
-as many pairs as rows. Those unlike their hub get a hub of their own, for
-``HUB_ROUNDS`` rounds. Then all rows of a bucket that are not yet in one
-component are compared with one another, whether they were like a hub or not,
-exactly: by a bound from word counts in blocks of rows, then by alignment. So a
-large group of copies costs one pair a row, and a passage that many unlike
-texts share costs no link.
+as many pairs as rows. Links to hubs give components. A bucket whose other rows
+are all in one component is done; in any other, rows of different components
+are compared with one another, exactly: lengths and word counts rule most pairs
+out, the rest are aligned where they are compared, and what comes back is one
+link for each two components that it joins. So neither a large group of copies
+nor a passage that many unlike texts share makes rows for all its pairs.
 
 Classes are the connected components of links; their id is the least document
 id in them. Null texts count as empty, and texts without words are linked to
@@ -29,13 +29,13 @@ Repeated rows stay rows of the result. Nodes are named by a 64-bit hash.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -52,24 +52,26 @@ SHORT = 40
 SHORT_SKETCHES = 32
 #: Edits up to which the narrow band is tried.
 NARROW = 12
-#: Rounds in which a bucket's rows that aren't like its hub get a hub of their own.
-HUB_ROUNDS = 3
-#: Rows of a bucket that a task compares with one another at once.
-BLOCK_ROWS = 4096
-#: Rows that a task of such comparisons takes, about.
-CELL_ROWS = 20_000
-#: Equal sketches that two nodes of a bucket need before they are aligned, where neither is the hub: the bucket's own.
-AGREEING = 1
+#: Rows that are compared with one copy of their hub.
+STAR_ROWS = 2000
 #: Bins of the word counts that tell unlike texts apart before they are aligned.
-BAG = 128
+BAG = 512
+#: Bytes of a row in a comparison, besides its words.
+ROW_BYTES = 2 * BAG + 200
+#: Bytes of a bucket's rows that are compared as one block, and of what a task compares at once, about.
+BLOCK_BYTES = 2 << 20
+CELL_BYTES = 16 << 20
+#: Buckets of one hub are dealt to so many cells, as they share rows.
+HUB_CELLS = 4
 
 _rng = np.random.default_rng(20240501)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2)
 _WORD = _rng.integers(0, 1 << 63, max(K, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: k-mers hashed by all functions at once.
-_AT_ONCE = 1 << 14
+_AT_ONCE = 512
 
 # ---------------------------------------------------------------- sketches
 
@@ -101,17 +103,21 @@ def sketch(codes: np.ndarray, k: int = K, sketches: int = SKETCHES) -> np.ndarra
     number = np.empty(len(kmers), np.uint64)  # of the occurrence, in text order
     number[order] = (at - first).astype(np.uint64)
     kmers = _mixed(kmers + number * _WORD[0])
-    odd, add = _ODD[:sketches], _ADD[:sketches]
-    least, places = np.empty((sketches, 0), np.uint64), np.empty((sketches, 0), np.int64)
+    odd, add, rows = _ODD[:sketches], _ADD[:sketches], np.arange(sketches)
+    least, places = [], []
     for start in range(0, len(kmers), _AT_ONCE):
-        part = kmers[start : start + _AT_ONCE]
-        hashed = odd[:, None] * part + add[:, None]
+        hashed = odd[:, None] * kmers[start : start + _AT_ONCE]
+        hashed += add[:, None]
         hashed ^= hashed >> np.uint64(32)
-        least = np.concatenate([least, hashed], axis=1)
-        places = np.concatenate([places, np.broadcast_to(np.arange(start, start + len(part)), hashed.shape)], axis=1)
-        if least.shape[1] > PICKED:
-            picked = np.argpartition(least, PICKED - 1, axis=1)[:, :PICKED]
-            least, places = np.take_along_axis(least, picked, 1), np.take_along_axis(places, picked, 1)
+        for _ in range(min(PICKED, hashed.shape[1])):
+            at_least = hashed.argmin(axis=1)
+            places.append(at_least + start)
+            least.append(hashed[rows, at_least])
+            hashed[rows, at_least] = _NONE
+    places = np.stack(places, axis=1)
+    if places.shape[1] > PICKED:
+        picked = np.argpartition(np.stack(least, axis=1), PICKED - 1, axis=1)[:, :PICKED]
+        places = np.take_along_axis(places, picked, 1)
     found = add.copy()
     for place in np.sort(places, axis=1).T:
         found = _mixed(found * _WORD[1] + kmers[place])
@@ -245,13 +251,16 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def bag(codes: np.ndarray) -> bytes:
-    """Words counted in BAG bins, each up to 255: what of one bag is not in another is a lower bound of the edit distance."""
-    return np.minimum(np.bincount(codes % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
+def bags(codes: list[np.ndarray]) -> np.ndarray:
+    """Words counted in BAG bins: what of one text's bag is not in another's is a lower bound of their edit distance."""
+    out = np.zeros((len(codes), BAG), np.uint16)
+    for row, words in zip(out, codes, strict=True):
+        row[:] = np.minimum(np.bincount(words % BAG, minlength=BAG), 65535)
+    return out
 
 
 _SKETCHED = T.StructType(
-    [T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("bag", T.BinaryType()), T.StructField("n_words", T.IntegerType())]
+    [T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.IntegerType())]
 )
 
 
@@ -262,168 +271,213 @@ def _sketches(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(
         [
             pa.array([None if s is None else s.view(np.int64) for s in found], pa.list_(pa.int64())),
-            pa.array([bag(c) for c in codes], pa.binary()),
+            pa.array([c.astype("<u4").tobytes() for c in codes], pa.binary()),
             pa.array([len(c) for c in codes], pa.int32()),
         ],
-        ["sketches", "bag", "n_words"],
+        ["sketches", "codes", "n_words"],
     )
 
 
-@arrow_udf(T.BinaryType())
-def _codes(texts: pa.Array) -> pa.Array:
-    return pa.array([word_codes(t).astype("<u4").tobytes() for t in texts.to_pylist()], pa.binary())
+def _read(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), "<u4")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with a column ``linked``."""
+def star_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) that are links; ``a`` is a hub, of many pairs perhaps.
 
-    @arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        read = lambda x: np.frombuffer(x, "<u4")
-        return pa.array([alike(read(x.as_buffer()), read(y.as_buffer()), similarity) for x, y in zip(a, b, strict=True)])
-
-    left = texts.select(F.col("node").alias("a"), F.col("codes").alias("codes_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("codes").alias("codes_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", linked(F.col("codes_a"), F.col("codes_b")).alias("linked"))
-
-
-def _leftover_pairs(rows: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY, judged: DataFrame | None = None) -> DataFrame:
-    """Pairs of rows (key, node, label) of a bucket with different labels that agree in enough sketches, block by block.
-
-    Pairs whose bags of words rule the similarity out don't come back, so a
-    passage that many unlike texts share gives no pairs; nor do those of ``judged``.
-    A bucket's rows are dealt to blocks of BLOCK_ROWS; each pair of blocks is
-    compared by itself, so that no task grows with the bucket. Small buckets
-    share a cell of about CELL_ROWS rows.
+    A hub's rows are dealt to parts of about STAR_ROWS, each sorted behind a
+    copy of the hub's words, so that a task holds one hub and a batch of rows.
     """
-    mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-    numbered = staged(
-        rows.join(mixed, "key").withColumn("block", F.expr(f"(row_number() over (partition by key order by label, node) - 1) div {BLOCK_ROWS}")), "mixed"
-    )
-    blocks = numbered.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    dealt = (
-        numbered.join(blocks, "key")
-        .withColumn("other", other)
-        .select("key", "node", "label", F.col("block").cast("int").alias("block"), F.least("block", "other").cast("int").alias("low"), F.greatest("block", "other").cast("int").alias("high"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
+    rows = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), "b")
+    rows = rows.join(texts.select(F.col("node").alias("b"), "codes"), "b").select("a", "part", "b", "codes")
+    heads = parts.join(texts.select(F.col("node").alias("a"), "codes"), "a")
+    heads = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "codes")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.empty(0, np.uint32)
+        for batch in batches:
+            a, b, keep = batch.column("a"), batch.column("b"), []
+            for i, codes in enumerate(batch.column("codes")):
+                if b[i].is_valid:
+                    if alike(hub, _read(codes), similarity):
+                        keep.append(i)
+                else:
+                    hub = _read(codes).copy()
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
+
+    both = heads.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return both.select("a", "b", "codes").mapInArrow(linked, "a long, b long")
+
+
+def _length_class(n_words: str, similarity: float) -> str:
+    """Lengths of texts that may be alike are in one class or in neighbouring ones."""
+    return f"cast(floor(ln({n_words}) / {math.log(1.04 / similarity)!r}) as int)"
+
+
+def tiles(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """What is compared with what: (cell, tile, node, label) of the rows (key, hub, node, n_words, label) of buckets with several labels.
+
+    A bucket's rows are split by length class; a class is compared with itself
+    and with the class below. Where that is more than BLOCK_BYTES it is dealt
+    to blocks, and each two blocks are a tile, so that no task grows with a
+    bucket. The last bits of ``tile`` say: 4, one block with itself; 2, of the
+    second block; 1, of the class below.
+    """
+    rows = rows.withColumn("class", F.expr(_length_class("n_words", similarity)))
+    spread = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("class").alias("top"), F.count("*").alias("n"))
+    mixed = rows.join(spread.filter("least < most").select("key", "top"), "key")
+    dealt = mixed.select("key", "hub", "node", "label", "n_words", "class", F.explode(F.expr("if(class < top, array(class, class + 1), array(class))")).alias("at"))
+    weight = F.sum(F.col("n_words") * 4 + ROW_BYTES)
+    sides = dealt.groupBy("key", "at").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("class").alias("own"), F.ceil(weight / BLOCK_BYTES).cast("int").alias("blocks"))
+    sides = sides.filter("least < most and own = at").select("key", "at", "blocks")
+    block = dealt.join(sides, ["key", "at"]).withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    pair = block.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    pair = pair.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    marks = F.expr("if(low = high, 4, 0) + if(block > low, 2, 0) + if(class < at, 1, 0)").cast("long")
+    return pair.select(
+        F.xxhash64("hub", F.expr(f"pmod(key, {HUB_CELLS})"), "at", "low", "high").alias("cell"),
+        F.xxhash64("key", "at", "low", "high").bitwiseAND(F.lit(-8)).bitwiseOR(marks).alias("tile"),
+        "node",
+        "label",
+        "n_words",
     )
-    cells = dealt.count() // CELL_ROWS + 1
-    dealt = dealt.withColumn("cell", F.expr(f"pmod(xxhash64(key, low, high), {cells})")).join(sketches.select("node", "bag", "n_words"), "node")
-
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "low", "high"], kind="stable")
-        nodes, block, label, n_words = (group[c].to_numpy() for c in ("node", "block", "label", "n_words"))
-        bags = np.frombuffer(b"".join(group["bag"]), np.uint8).reshape(len(group), BAG)
-        totals = bags.sum(axis=1, dtype=np.int64)
-        low, high = group["low"].to_numpy(), group["high"].to_numpy()
-        names = group[["key", "low", "high"]].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1)))) if len(names) else np.empty(0, np.int64)
-        out = []
-        for start, end in zip(starts, np.append(starts[1:], len(names)), strict=True):
-            at = np.arange(start, end)
-            first, second = at[block[at] == low[start]], at[block[at] == high[start]]
-            for i in first:
-                others = second[label[second] != label[i]]
-                if low[start] == high[start]:
-                    others = others[nodes[others] > nodes[i]]
+
+
+def _compared(similarity: float):
+    def compared(table: pa.Table) -> pa.Table:
+        nodes, label = table["node"].to_numpy(), table["label"].to_numpy()
+        codes = [_read(x) for x in table["codes"]]
+        n_words = np.array([len(c) for c in codes])
+        bag = bags(codes)
+        totals = bag.sum(axis=1, dtype=np.int64)
+        held = table["tiles"].combine_chunks()
+        held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+        tile, row = held.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), held.value_lengths().to_numpy())
+        order = np.argsort(tile, kind="stable")
+        tile, row = tile[order], row[order]
+        names, starts = np.unique(tile >> 3, return_index=True)
+        root = np.unique(label, return_inverse=True)[1]
+        tried, links = set(), []
+        for start, end in zip(starts, np.append(starts[1:], len(tile)), strict=True):
+            at, marks = row[start:end], tile[start:end] & 7
+            if (root[at] == root[at[0]]).all():
+                continue
+            below = np.zeros(len(nodes), bool)
+            below[at] = marks & 1
+            alone = bool(marks[0] & 4)
+            first = at if alone else at[marks & 2 == 0]
+            second = at if alone else at[marks & 2 != 0]
+            for k, i in enumerate(first):
+                others = second[k + 1 :] if alone else second
+                others = others[root[others] != root[i]]
+                if below[i]:
+                    others = others[~below[others]]
                 limit = np.floor(np.maximum(n_words[others], n_words[i]) * (1 - similarity) + 1e-9)
                 near = np.abs(n_words[others] - n_words[i]) <= limit
                 others, limit = others[near], limit[near]
-                # the more words of the two bags, less those in both
-                off = np.maximum(totals[others], totals[i]) - np.minimum(bags[others], bags[i]).sum(axis=1, dtype=np.uint16)
-                others = others[off <= limit]
-                out.append(np.stack([np.minimum(nodes[others], nodes[i]), np.maximum(nodes[others], nodes[i])], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    pairs = dealt.groupBy("cell").applyInPandas(compared, "a long, b long").distinct()
-    if judged is not None:
-        pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    own = [sketches.select(F.col("node").alias(n), F.col("sketches").alias(f"sketches_{n}")) for n in ("a", "b")]
-    agreeing = F.size(F.filter(F.zip_with("sketches_a", "sketches_b", lambda x, y: x == y), lambda same: same))
-    return pairs.join(own[0], "a").join(own[1], "b").filter(agreeing >= AGREEING).select("a", "b")
+                if not len(others):
+                    continue
+                off = np.maximum(totals[others], totals[i]) - np.minimum(bag[others], bag[i]).sum(axis=1, dtype=np.int64)
+                for j in others[off <= limit].tolist():
+                    pair = (i, j) if i < j else (j, i)
+                    if root[j] == root[i] or pair in tried:
+                        continue
+                    tried.add(pair)
+                    if alike(codes[i], codes[j], similarity):
+                        links.append((label[i], label[j]))
+                        root[root == root[j]] = root[i]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return compared
+
+
+def leftover_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between labels that rows (key, hub, node, n_words, label) of one bucket give: enough to join all that are linked."""
+    dealt = staged(tiles(rows, similarity), "tiles")
+    total = dealt.select("cell", "node", "n_words").distinct().agg(F.sum(F.col("n_words") * 4 + ROW_BYTES)).first()[0] or 0
+    held = dealt.groupBy(F.expr(f"pmod(cell, {total // CELL_BYTES + 1})").alias("cell"), "node", "label").agg(F.collect_set("tile").alias("tiles"))
+    held = held.join(texts.select("node", "codes"), "node").select("cell", "node", "label", "tiles", "codes")
+    return held.groupBy("cell").applyInArrow(_compared(similarity), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): the least node that links lead to.
 
-    Each round gives every node the least label among itself, its neighbours
-    and its label's label, and writes the table; rounds end when nothing changes.
+    Every node takes its least neighbour, if less than itself, as its parent;
+    parents are followed to the roots, twice as far each round; and the links
+    between different roots, few by then, are resolved in the same way.
     """
-    both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    links = staged(links.select(low.alias("a"), high.alias("b")).filter("a < b").distinct(), "links")
+    parent = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    alone = links.select(F.col("a").alias("node")).distinct().join(parent, "node", "left_anti").select("node", F.col("node").alias("label"))
+    labels = staged(parent.union(alone), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = (
-            labels.join(heard, "node")
-            .join(up, "label", "left")
-            .select("node", "label", F.least("label", "heard", "up").alias("new"))
-        )
-        new = staged(new, "labels")
-        changed = new.filter(F.col("new") < F.col("label")).limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        moved = staged(labels.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), "labels")
+        labels = moved.select("node", "label")
+        if not moved.filter("moved").limit(1).count():
+            break
+    ends = [labels.select(F.col("node").alias(n), F.col("label").alias(f"root_{n}")) for n in ("a", "b")]
+    between = links.join(ends[0], "a").join(ends[1], "b").filter("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    between = staged(between, "between")
+    if not between.limit(1).count():
+        return labels
+    return relabelled(labels, components(between))
+
+
+def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """Labels (node, label) whose label is a node of ``further`` take the label it has there."""
+    up = further.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (id, node), one for each document, and (node, label) of the linked nodes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = staged(rows.select("id", node_of(F.col("text")).alias("node"), _sketches.asNondeterministic()(F.col("text")).alias("s")).select("id", "node", "s.*"), "sketches")
-    held = rows.filter(F.col("sketches").isNotNull()).groupBy("node")
-    sketches = staged(held.agg(*[F.first(c).alias(c) for c in ("sketches", "bag", "n_words")]), "nodes")
-    bands = sketches.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    bands = bands.select(F.xxhash64("band", "sketch").alias("key"), "node")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter(F.col("n") > 1).select("key", "hub")
-    met = staged(bands.join(hubs, "key").filter(F.col("node") != F.col("hub")), "buckets")  # rows of buckets with company
-    every = met
+    nodes = rows.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"))
+    bands = nodes.select("node", "n_words", F.posexplode("sketches").alias("band", "sketch"))
+    bands = staged(bands.select(F.xxhash64("band", "sketch").alias("key"), "node", "n_words"), "bands")
+    hubs = bands.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("hub"), F.max("node").alias("most")).filter(F.col("hub.node") < F.col("most"))
+    met = bands.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n_words").alias("hub_words")), "key").filter(F.col("node") != F.col("hub"))
+    met = staged(met, "buckets")  # rows of buckets with company, but for the hub
     needed = met.select("node").union(met.select(F.col("hub").alias("node"))).distinct()
-    texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(needed, "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _codes(F.col("text")).alias("codes"))
+    texts = rows.select("node", "codes").join(needed, "node", "left_semi").groupBy("node").agg(F.first("codes").alias("codes"))
     texts = staged(texts, "texts")
-    judged = None
-    for number in range(HUB_ROUNDS):
-        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        new = staged(_verified(pairs, texts, similarity), "judged")
-        judged = new if judged is None else judged.union(new)
-        if number == HUB_ROUNDS - 1:
-            break
-        unlike = judged.filter(~F.col("linked")).select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        left = met.join(unlike, ["hub", "node"], "left_semi").select("key", "node")
-        heads = left.groupBy("key").agg(F.min("node").alias("hub"))
-        met = staged(left.join(heads, "key").filter(F.col("node") != F.col("hub")), "buckets")
-    links = judged.filter("linked").select("a", "b")
-    linked = components(links)
-    # all rows of a bucket with one unlike its hub, the hub as well: only rows of different components can be news to one another
-    crowded = staged(every.groupBy("key").agg(F.min("hub").alias("node"), F.count("*").alias("n")).filter("n > 1").select("key", "node"), "crowded")
-    left = every.select("key", "node").join(crowded.select("key"), "key").union(crowded)
-    left = staged(left.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    more = staged(_verified(_leftover_pairs(left, sketches, similarity, judged), texts, similarity).filter("linked").select("a", "b"), "links")
+    near = F.abs(F.col("n_words") - F.col("hub_words")) <= F.floor(F.greatest("n_words", "hub_words") * (1 - similarity) + 1e-9)
+    pairs = met.filter(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    linked = components(star_links(staged(pairs, "pairs"), texts, similarity))
+    left = met.join(linked, "node", "left").select("key", "hub", "node", "n_words", F.coalesce("label", "node").alias("label"))
+    more = staged(leftover_links(staged(left, "labelled"), texts, similarity), "links")
     if more.limit(1).count():
-        linked = components(links.union(more))
+        joined = components(more)
+        rest = joined.join(linked, "node", "left_anti")  # nodes that had no link to a hub
+        linked = staged(relabelled(linked, joined).union(rest), "labels")
     return rows.select("id", "node"), linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each document: id, class_id (least id in its class), class_size (rows in it)."""
+    """One row for each document: id, class_id (least id in its class), class_size (rows in it) and class_texts (different texts in it)."""
     rows, linked = classes(docs, id_col, text_col, similarity)
-    labelled = rows.join(linked, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
-    totals = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return labelled.join(totals, "label").select("id", "class_id", "class_size")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    nodes = nodes.join(linked, "node", "left").select("node", "id", "n", F.coalesce("label", "node").alias("label"))
+    totals = nodes.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("class_texts"))
+    of_node = nodes.select("node", "label").join(totals, "label").drop("label")
+    return rows.join(of_node, "node").select("id", "class_id", "class_size", "class_texts")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class: that of the least id (of repeated rows, any one)."""
     rows, linked = classes(docs, id_col, text_col, similarity)
-    labelled = rows.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-    counts = labelled.groupBy("label", "id", "node").agg(F.count("*").alias("copies"))
-    chosen = best.select("label", "best.id", "best.node")
-    kept = counts.join(chosen, (counts["label"] == chosen["label"]) & counts["id"].eqNullSafe(chosen["id"]) & (counts["node"] == chosen["node"]), "left_semi")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
+    nodes = rows.groupBy("node").agg(least.alias("first")).select("node", "first.*")
+    nodes = nodes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chosen = nodes.groupBy("label").agg(F.min(F.struct("none", "id", "node")).alias("best")).select("best.id", "best.node")
+    counts = rows.groupBy("node", "id").agg(F.count("*").alias("copies"))
+    kept = counts.join(chosen, counts["id"].eqNullSafe(chosen["id"]) & (counts["node"] == chosen["node"]), "left_semi")
     kept = staged(kept.select(F.col("id").alias("_kept_id"), F.col("node").alias("_kept_node"), "copies"), "kept")
     node = free_name(docs, "_node")
     own = docs.withColumn(node, node_of(F.col(text_col)))

@@ -108,7 +108,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = order_minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "class_texts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

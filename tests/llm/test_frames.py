@@ -204,26 +204,47 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == sorted({find(i) for i in range(len(texts))})
 
 
-def test_leftovers_of_a_bucket_are_compared(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1, 5000, 1 << 20])
+def test_leftovers_of_a_bucket_are_compared(spark, monkeypatch, block):
+    """Every two rows of a bucket with different labels meet, in whatever blocks and length classes they are."""
     from laneweave.llm import order_minhash as om
 
-    monkeypatch.setattr(om, "BLOCK_ROWS", 2)
-    rows = [(1, n, n) for n in range(1, 8)]
-    bags = [om.bag(np.arange(40, dtype=np.uint32) + (60 if n == 7 else 0)) for n in range(8)]  # the seventh has other words
-    sketches = [(n, [n % 3] * om.AGREEING + [100 + n] * (om.SKETCHES - om.AGREEING), bags[n], 40) for n in range(1, 8)]
-    kind = "node long, sketches array<bigint>, bag binary, n_words int"
-    got = om._leftover_pairs(spark.createDataFrame(rows, "key long, node long, label long"), spark.createDataFrame(sketches, kind))
-    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted((a, b) for a in range(1, 7) for b in range(a + 1, 7) if a % 3 == b % 3)
-
-
-def test_leftovers_need_one_equal_sketch(spark):
-    from laneweave.llm import order_minhash as om
-
-    bag = om.bag(np.arange(40, dtype=np.uint32))
-    sketches = [(n, [7] + [100 * n + i for i in range(1, om.SKETCHES)], bag, 40) for n in (1, 2)]
-    kind = "node long, sketches array<bigint>, bag binary, n_words int"
-    got = om._leftover_pairs(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "key long, node long, label long"), spark.createDataFrame(sketches, kind))
-    assert [(r["a"], r["b"]) for r in got.collect()] == [(1, 2)]
+    monkeypatch.setattr(om, "BLOCK_BYTES", block)
+    monkeypatch.setattr(om, "CELL_BYTES", 20_000)
+    rng = random.Random(19)
+    codes, rows = {}, []
+    for key in range(3):
+        for base in range(12):
+            words = [rng.randrange(1 << 30) for _ in range(rng.randrange(5, 60))]
+            for _ in range(rng.randrange(1, 5)):
+                own = list(words)
+                for _ in range(rng.randrange(len(own) // 5 + 2)):
+                    own[rng.randrange(len(own))] = rng.randrange(1 << 30)
+                if rng.random() < 0.5:
+                    own = own[: len(own) - rng.randrange(len(own) // 5 + 1)]
+                node = rng.randrange(1 << 40)
+                codes[node] = np.array(own, "<u4")
+                rows.append((key, -key, node, len(own), node if rng.random() < 0.8 else base))
+    texts = spark.createDataFrame([(n, bytearray(c.tobytes())) for n, c in codes.items()], "node long, codes binary")
+    got = om.leftover_links(spark.createDataFrame(rows, "key long, hub long, node long, n_words int, label long"), texts)
+    group = {label: label for *_, label in rows}
+
+    def joined(links, group):
+        def find(i):
+            while group[i] != i:
+                i = group[i]
+            return i
+
+        for a, b in links:
+            low, high = sorted((find(a), find(b)))
+            group[high] = low
+        return {i: find(i) for i in group}
+
+    alike = [(x[4], y[4]) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and om.alike(codes[x[2]], codes[y[2]])]
+    links = [(r["a"], r["b"]) for r in got.collect()]
+    assert set(links) <= {(min(p), max(p)) for p in alike}
+    assert joined(links, dict(group)) == joined(alike, dict(group)) != group
+    assert om.tiles(spark.createDataFrame([], "key long, hub long, node long, n_words int, label long")).count() == 0
 
 
 def test_rows_unlike_the_hub_meet_those_like_it(spark, monkeypatch):
@@ -255,8 +276,8 @@ def _one_bucket(om, sketches):
 
         codes = [om.word_codes(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
-            [pa.array([sketches.view(np.int64)] * len(codes), pa.list_(pa.int64())), pa.array([om.bag(c) for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())],
-            ["sketches", "bag", "n_words"],
+            [pa.array([sketches.view(np.int64)] * len(codes), pa.list_(pa.int64())), pa.array([c.astype("<u4").tobytes() for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())],
+            ["sketches", "codes", "n_words"],
         )
 
     return same
@@ -265,7 +286,7 @@ def _one_bucket(om, sketches):
 def test_components(spark):
     from laneweave.llm import order_minhash as om
 
-    edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 40)]
+    edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 40), (40, 30), (7, 7)]
     got = {r["node"]: r["label"] for r in om.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 40: 30}
 
