@@ -24,21 +24,21 @@ nor a passage that many unlike texts share makes rows for all its pairs.
 Classes are the connected components of links; their id is the least document
 id in them. Null texts count as empty, and texts without words are linked to
 equal texts only. Null ids are never a class id unless a class has no other.
-Repeated rows stay rows of the result. Nodes are named by a 64-bit hash.
+Repeated rows stay rows of the result; a task sketches a text once, so that
+copies add few rows to a bucket. Nodes are named by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
 from .common import free_name, staged
 from .decontaminate import words_of
@@ -259,23 +259,29 @@ def bags(codes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SKETCHED = T.StructType(
-    [T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.IntegerType())]
-)
+def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[np.ndarray], np.ndarray | None] | None = None) -> DataFrame:
+    """(id, node, n_words, codes, sketches) of all rows; where a task meets a text again, the last two are null, as they are in texts without words."""
+    find = find or all_sketches
 
-
-@arrow_udf(_SKETCHED)
-def _sketches(texts: pa.Array) -> pa.Array:
-    codes = [word_codes(t) for t in texts.to_pylist()]
-    found = [all_sketches(c) for c in codes]
-    return pa.StructArray.from_arrays(
-        [
-            pa.array([None if s is None else s.view(np.int64) for s in found], pa.list_(pa.int64())),
-            pa.array([c.astype("<u4").tobytes() for c in codes], pa.binary()),
-            pa.array([len(c) for c in codes], pa.int32()),
-        ],
-        ["sketches", "codes", "n_words"],
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            codes, sketches, n_words = [], [], []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = None if node in seen else word_codes(text)
+                seen.add(node)
+                found = None if own is None else find(own)
+                n_words.append(None if own is None else len(own))
+                codes.append(None if found is None else own.astype("<u4").tobytes())
+                sketches.append(None if found is None else found.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("node"), pa.array(n_words, pa.int32()), pa.array(codes, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
+                ["id", "node", "n_words", "codes", "sketches"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    more = [T.StructField("n_words", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *more]))
 
 
 def _read(value: pa.BinaryScalar) -> np.ndarray:
@@ -436,16 +442,15 @@ def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (id, node), one for each document, and (node, label) of the linked nodes."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = staged(rows.select("id", node_of(F.col("text")).alias("node"), _sketches.asNondeterministic()(F.col("text")).alias("s")).select("id", "node", "s.*"), "sketches")
-    nodes = rows.filter(F.col("sketches").isNotNull()).groupBy("node").agg(F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words"))
-    bands = nodes.select("node", "n_words", F.posexplode("sketches").alias("band", "sketch"))
-    bands = staged(bands.select(F.xxhash64("band", "sketch").alias("key"), "node", "n_words"), "bands")
-    hubs = bands.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("hub"), F.max("node").alias("most")).filter(F.col("hub.node") < F.col("most"))
-    met = bands.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n_words").alias("hub_words")), "key").filter(F.col("node") != F.col("hub"))
-    met = staged(met, "buckets")  # rows of buckets with company, but for the hub
+    rows = staged(sketched(docs, id_col, text_col, all_sketches), "sketches")
+    bands = rows.filter(F.col("sketches").isNotNull()).select("node", "n_words", F.posexplode("sketches").alias("band", "sketch"))
+    bands = bands.select(F.xxhash64("band", "sketch").alias("key"), "node", "n_words")
+    # all rows go by key once; a key's rows are sorted and summed as a stream that can spill
+    mates = Window.partitionBy("key")
+    met = bands.withColumn("hub", F.min(F.struct("node", "n_words")).over(mates)).filter(F.col("node") != F.col("hub.node"))
+    met = staged(met.select("key", "hub.node", "hub.n_words", "node", "n_words").toDF("key", "hub", "hub_words", "node", "n_words").distinct(), "buckets")  # rows of buckets with company, but for the hub
     needed = met.select("node").union(met.select(F.col("hub").alias("node"))).distinct()
-    texts = rows.select("node", "codes").join(needed, "node", "left_semi").groupBy("node").agg(F.first("codes").alias("codes"))
+    texts = rows.filter(F.col("codes").isNotNull()).select("node", "codes").join(needed, "node", "left_semi").groupBy("node").agg(F.first("codes").alias("codes"))
     texts = staged(texts, "texts")
     near = F.abs(F.col("n_words") - F.col("hub_words")) <= F.floor(F.greatest("n_words", "hub_words") * (1 - similarity) + 1e-9)
     pairs = met.filter(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()

@@ -264,25 +264,11 @@ def test_rows_unlike_the_hub_meet_those_like_it(spark, monkeypatch):
         if nodes[0] == min(nodes):
             break
     one = np.arange(om.SKETCHES + om.SHORT_SKETCHES, dtype=np.uint64)
-    monkeypatch.setattr(om, "_sketches", _one_bucket(om, one))
+    monkeypatch.setattr(om, "all_sketches", lambda codes: one)
     df = spark.createDataFrame(list(enumerate(least)), "doc_id long, text string")
     assert {r["class_id"] for r in om.near_duplicates(df).collect()} == {0}
 
 
-def _one_bucket(om, sketches):
-    @F.arrow_udf(om._SKETCHED)
-    def same(texts):
-        import pyarrow as pa
-
-        codes = [om.word_codes(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array([sketches.view(np.int64)] * len(codes), pa.list_(pa.int64())), pa.array([c.astype("<u4").tobytes() for c in codes], pa.binary()), pa.array([len(c) for c in codes], pa.int32())],
-            ["sketches", "codes", "n_words"],
-        )
-
-    return same
-
-
 def test_components(spark):
     from laneweave.llm import order_minhash as om
 
