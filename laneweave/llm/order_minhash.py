@@ -61,8 +61,6 @@ ROW_BYTES = 2 * BAG + 200
 #: Bytes of a bucket's rows that are compared as one block, and of what a task compares at once, about.
 BLOCK_BYTES = 2 << 20
 CELL_BYTES = 16 << 20
-#: Buckets of one hub are dealt to so many cells, as they share rows.
-HUB_CELLS = 4
 
 _rng = np.random.default_rng(20240501)
 _ODD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -288,17 +286,18 @@ def _read(value: pa.BinaryScalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), "<u4")
 
 
-def star_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) that are links; ``a`` is a hub, of many pairs perhaps.
-
-    A hub's rows are dealt to parts of about STAR_ROWS, each sorted behind a
-    copy of the hub's words, so that a task holds one hub and a batch of rows.
-    """
+def star_places(pairs: DataFrame) -> DataFrame:
+    """(node, place) of pairs (a, b), ``a`` a hub: its pairs are dealt to parts of about STAR_ROWS, each with the hub at its head."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
-    rows = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), "b")
-    rows = rows.join(texts.select(F.col("node").alias("b"), "codes"), "b").select("a", "part", "b", "codes")
-    heads = parts.join(texts.select(F.col("node").alias("a"), "codes"), "a")
-    heads = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "codes")
+    rows = pairs.join(parts, "a").select(F.col("b").alias("node"), "a", F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.lit(False).alias("head"))
+    heads = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("head"))
+    return rows.union(heads).select("node", F.struct("a", "part", "head").alias("place"))
+
+
+def star_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of hubs ``a`` from texts (node, codes, places): a part's rows are sorted behind its hub, so that a task holds one hub and a batch of rows."""
+    places = texts.select("node", "codes", F.explode("places").alias("at"))
+    both = places.select("at.a", "at.part", F.when(~F.col("at.head"), F.col("node")).alias("b"), "codes")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.empty(0, np.uint32)
@@ -312,7 +311,7 @@ def star_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
                     hub = _read(codes).copy()
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    both = heads.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return both.select("a", "b", "codes").mapInArrow(linked, "a long, b long")
 
 
@@ -327,7 +326,7 @@ def tiles(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     A bucket's rows are split by length class; a class is compared with itself
     and with the class below. Where that is more than BLOCK_BYTES it is dealt
     to blocks, and each two blocks are a tile, so that no task grows with a
-    bucket. The last bits of ``tile`` say: 4, one block with itself; 2, of the
+    bucket. Buckets of one hub share rows, and so a cell. The last bits of ``tile`` say: 4, one block with itself; 2, of the
     second block; 1, of the class below.
     """
     rows = rows.withColumn("class", F.expr(_length_class("n_words", similarity)))
@@ -342,7 +341,7 @@ def tiles(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pair = pair.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     marks = F.expr("if(low = high, 4, 0) + if(block > low, 2, 0) + if(class < at, 1, 0)").cast("long")
     return pair.select(
-        F.xxhash64("hub", F.expr(f"pmod(key, {HUB_CELLS})"), "at", "low", "high").alias("cell"),
+        F.xxhash64("hub", "at", "low", "high").alias("cell"),
         F.xxhash64("key", "at", "low", "high").bitwiseAND(F.lit(-8)).bitwiseOR(marks).alias("tile"),
         "node",
         "label",
@@ -404,7 +403,7 @@ def leftover_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILA
     dealt = staged(tiles(rows, similarity), "tiles")
     total = dealt.select("cell", "node", "n_words").distinct().agg(F.sum(F.col("n_words") * 4 + ROW_BYTES)).first()[0] or 0
     held = dealt.groupBy(F.expr(f"pmod(cell, {total // CELL_BYTES + 1})").alias("cell"), "node", "label").agg(F.collect_set("tile").alias("tiles"))
-    held = held.join(texts.select("node", "codes"), "node").select("cell", "node", "label", "tiles", "codes")
+    held = held.join(texts.select("node", "codes").hint("merge"), "node").select("cell", "node", "label", "tiles", "codes")
     return held.groupBy("cell").applyInArrow(_compared(similarity), "a long, b long").distinct()
 
 
@@ -449,12 +448,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     mates = Window.partitionBy("key")
     met = bands.withColumn("hub", F.min(F.struct("node", "n_words")).over(mates)).filter(F.col("node") != F.col("hub.node"))
     met = staged(met.select("key", "hub.node", "hub.n_words", "node", "n_words").toDF("key", "hub", "hub_words", "node", "n_words").distinct(), "buckets")  # rows of buckets with company, but for the hub
-    needed = met.select("node").union(met.select(F.col("hub").alias("node"))).distinct()
-    texts = rows.filter(F.col("codes").isNotNull()).select("node", "codes").join(needed, "node", "left_semi").groupBy("node").agg(F.first("codes").alias("codes"))
-    texts = staged(texts, "texts")
     near = F.abs(F.col("n_words") - F.col("hub_words")) <= F.floor(F.greatest("n_words", "hub_words") * (1 - similarity) + 1e-9)
-    pairs = met.filter(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    linked = components(star_links(staged(pairs, "pairs"), texts, similarity))
+    places = star_places(staged(met.filter(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
+    others = met.select("node").distinct().select("node", F.lit(None).cast(places.schema["place"].dataType).alias("place"))
+    wanted = places.union(others).groupBy("node").agg(F.collect_list("place").alias("places"))
+    # no side has a known bound, so neither is broadcast; the words go by node once for all stars
+    texts = rows.filter(F.col("codes").isNotNull()).select("node", "codes").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    texts = staged(texts, "texts")
+    linked = components(star_links(texts, similarity))
     left = met.join(linked, "node", "left").select("key", "hub", "node", "n_words", F.coalesce("label", "node").alias("label"))
     more = staged(leftover_links(staged(left, "labelled"), texts, similarity), "links")
     if more.limit(1).count():
