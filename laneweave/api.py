@@ -61,7 +61,7 @@ class RunOptions:
 @dataclass
 class SplitReport:
     manifest: dict
-    plan: planner.Plan
+    plan: planner.ScanPlan
     notes: list[str] = field(default_factory=list)
 
     @property
@@ -79,10 +79,6 @@ def local_input(path: str) -> tuple[str, str | None]:
     return copy, copy
 
 
-def input_facts(path: str, header: Header, seekable: bool = True) -> planner.InputFacts:
-    return planner.InputFacts(seekable, "://" not in path or path.startswith("file:"), bam.file_size(path), bam.find_index(path) is not None, header.sort_order, len(header.references))
-
-
 def _prepare(spark: SparkSession, path: str, options: RunOptions, columns: list[str], **read) -> tuple[Header, DataFrame]:
     options.validate()
     header, _ = bam.read_header(path)
@@ -95,15 +91,15 @@ def _run(
     header: Header,
     routed: DataFrame,
     declared: list[str],
-    mode: planner.Mode,
+    mode: str,
+    plan: planner.ScanPlan,
     options: RunOptions,
     template: str = "{key}.bam",
     duplicating: bool = False,
     described: dict[str, dict] | None = None,
     extra: dict | None = None,
 ) -> SplitReport:
-    """Plan, write under a scratch folder, check, commit, and write the manifest."""
-    plan = planner.choose(input_facts(path, header), mode, options.threads, options.engine, options.io)
+    """Write under a scratch folder, check, commit, and write the manifest."""
     kind, depth = ix.plan(options.index, header.longest_reference)
     out_header = header.with_program(PROGRAM, VERSION, options.command) if options.append_program else header
     fs, folder = bam.open_file(options.out_dir)
@@ -124,8 +120,8 @@ def _run(
         names = {k.decode("utf-8"): n for k, n in assign_names([r["key"].encode("utf-8") for r in reports], Template(template)).items()}
         described = described or {}
         run = {
-            "program": PROGRAM, "version": VERSION, "input": path, "header_checksum": header.checksum, "sort_order": header.sort_order, "mode": mode.kind, "engine": plan.engine,
-            "engine_reason": plan.reason, "io": plan.io, "index": kind, "command": options.command, **(extra or {}),
+            "program": PROGRAM, "version": VERSION, "input": path, "header_checksum": header.checksum, "sort_order": header.sort_order, "mode": mode, **plan.told(),
+            "index": kind, "command": options.command, **(extra or {}),
         }
         rows = [mf.output_row(r, names[r["key"]], described.get(r["key"])) for r in reports]
         rows += [mf.output_row({"key": k}, None, described.get(k)) for k in missing]
@@ -173,7 +169,7 @@ def split_chrom(
     selection = {"include": include, "exclude": exclude, "ignore_unknown": ignore_unknown}
     routed = routing.route_chrom(aln, refs, unplaced, placed_unmapped, unmapped_key=unmapped_key, **selection)
     declared = routing.declared_chrom_keys(refs, unplaced, placed_unmapped, unmapped_key, **selection).orderBy("position")
-    return _run(spark, path, header, routed, [r["key"] for r in declared.collect()], planner.Mode("chrom"), options, template)
+    return _run(spark, path, header, routed, [r["key"] for r in declared.collect()], "chrom", planner.plan(path, "chrom", options.engine, options.io), options, template)
 
 
 def _tagged(aln: DataFrame, tag: str, arrays: bool = True) -> DataFrame:
@@ -203,7 +199,7 @@ def split_tag(
         with_rg = _tagged(aln, "RG", False).withColumnRenamed("_tag", "rg")
         routed = routing.route_read_group(with_rg, groups, field, missing, unknown, missing_key, max_outputs)
         declared = [r["key"] for r in routing.declared_tag_keys(groups, field, missing, unknown, missing_key).orderBy("key").collect()]
-    return _run(spark, path, header, routed, declared, planner.Mode("tag"), options)
+    return _run(spark, path, header, routed, declared, "tag", planner.plan(path, "tag", options.engine, options.io), options)
 
 
 def split_shard(
@@ -231,7 +227,7 @@ def split_shard(
         raise ConfigError(f"unknown shard key {key!r}")
     routed = routing.route_shard(aln, value, shards, seed, width, missing, missing_key, reason)
     declared = [r["key"] for r in routing.declared_shard_keys(spark, shards, width, missing, missing_key).orderBy("key").collect()]
-    return _run(spark, path, header, routed, declared, planner.Mode("shard"), options)
+    return _run(spark, path, header, routed, declared, "shard", planner.plan(path, "shard", options.engine, options.io), options)
 
 
 def split_region(
@@ -266,29 +262,30 @@ def split_region(
     if not places.limit(1).count():
         raise ConfigError("there are no regions")
     regions.check_shared_names(refs, places)
-    dense = regions.coverage(places, refs).first()["dense"]
-    _, aln = _prepare(spark, path, options, ["flag", "pos", "cigar"])
+    listed = places.orderBy("ordinal").select("key", "chrom", "env_start", "env_end", "strand").collect()
+    # records that match nothing are counted among those that are read; where they are filed, all have to be
+    spots = [(r["chrom"], r["env_start"], r["env_end"]) for r in listed] if unmatched == "drop" else None
+    plan = planner.plan(path, "region", options.engine, options.io, spots)
+    _, aln = _prepare(spark, path, options, ["flag", "pos", "cigar"], regions=plan.places)
     if aln.filter(F.col("ref_id") >= len(header.references)).limit(1).count():
         raise ConfigError("a reference id is not in the dictionary")
     routed = regions.route_region(aln, places, assignment, geometry == "span")
     if unmatched == "file":
         lost = F.size("keys") == 0
         routed = routed.withColumn("keys", F.when(lost, F.array(F.lit(unmatched_key))).otherwise(F.col("keys"))).withColumn("drop_reason", F.lit(None).cast("string"))
-    listed = places.orderBy("ordinal").select("key", "chrom", "env_start", "env_end", "strand").collect()
     described = {r["key"]: {"chrom": r["chrom"], "start": r["env_start"], "end": r["env_end"], "strand": r["strand"]} for r in listed}
     pairs = regions.matches(aln, places, assignment, geometry == "span")
     extra = {"regions": len(listed), "assignment": assignment, "geometry": geometry, "routing": regions.routing_counts(aln, pairs, assignment).first().asDict()}
-    return _run(spark, path, header, routed, list(described), planner.Mode("region", len(listed), dense), options, duplicating=assignment == "overlap", described=described, extra=extra)
+    return _run(spark, path, header, routed, list(described), "region", plan, options, duplicating=assignment == "overlap", described=described, extra=extra)
 
 
 def inspect(spark: SparkSession, path: str, scan: bool = True, tag: str | None = None, regions_file: str | None = None, feature: str = "span") -> dict:
     """A report of a file (and of an annotation). A broken record ends the scan and sets ``valid`` to false."""
     header, _ = bam.read_header(path)
-    facts = input_facts(path, header)
     out: dict = {
-        "input": path, "bytes": facts.size, "sort_order": header.sort_order, "references": len(header.references), "read_groups": len(header.read_groups), "programs": len(header.lines("PG")),
+        "input": path, "bytes": bam.file_size(path), "sort_order": header.sort_order, "references": len(header.references), "read_groups": len(header.read_groups), "programs": len(header.lines("PG")),
         "header_checksum": header.checksum, "longest_reference": header.longest_reference, "eof_marker": bam.has_marker(path), "index_file": bam.find_index(path),
-        "planned_index": ix.plan("auto", header.longest_reference)[0], "plan": {m: asdict(planner.choose(facts, planner.Mode(m))) for m in ("chrom", "shard", "tag", "region")},
+        "planned_index": ix.plan("auto", header.longest_reference)[0], "plan": {m: planner.plan(path, m).told() for m in ("chrom", "shard", "tag", "region")},
     }
     if out["index_file"]:
         try:

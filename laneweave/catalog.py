@@ -421,9 +421,12 @@ def overlapping_region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.overlapping_pairs(_region_rows(spark, sf_dir, "span"))
 
 
-@_query("reference_name_diff", _with("SELECT name FROM refs WHERE name NOT IN (SELECT chrom FROM regs) ORDER BY name LIMIT 20", more=_regions_sql("span")))
+@_query("reference_name_diff", _with("SELECT 'header' AS side, name FROM (SELECT name FROM refs WHERE name NOT IN (SELECT chrom FROM regs) ORDER BY name LIMIT 20) UNION ALL SELECT 'regions' AS side, name FROM (SELECT DISTINCT chrom AS name FROM regs WHERE chrom NOT IN (SELECT name FROM refs WHERE ref_id > 0) ORDER BY name LIMIT 20)", more=_regions_sql("span")))
 def reference_name_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.name_differences(lens.references(spark), _region_rows(spark, sf_dir, "span"))[0]
+    """Names on one side only, each way. The second way is asked of a header without its first reference."""
+    refs, rows = lens.references(spark), _region_rows(spark, sf_dir, "span")
+    ours, theirs = regions.name_differences(refs, rows)[0], regions.name_differences(refs.filter("ref_id > 0"), rows)[1]
+    return ours.select(F.lit("header").alias("side"), "name").union(theirs.select(F.lit("regions").alias("side"), "name"))
 
 
 @_query("covered_bases_density", _with(f"SELECT CAST(sum(s['end'] - s.start) AS BIGINT) AS covered, CAST({lens.REFERENCES * lens.LENGTH} AS BIGINT) AS genome, sum(s['end'] - s.start) * 4 >= {lens.REFERENCES * lens.LENGTH} AS dense FROM seg", more=_regions_sql("exon")))

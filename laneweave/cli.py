@@ -125,7 +125,7 @@ def run(argv: list[str], spark=None) -> int:
             report = api.split_region(
                 spark, path, options, a.regions, a.window, a.feature, a.assignment, a.geometry, a.missing_feature, a.require_blocks, a.name_prefix, a.name_field, a.format, a.type, a.unmatched
             )
-        print(f"{len(report.created_outputs)} outputs, engine {report.plan.engine} ({report.plan.reason})")
+        print(f"{len(report.created_outputs)} outputs, {report.plan.scan} scan ({report.plan.reason})")
         for note in report.notes:
             print(f"note: {note}", file=sys.stderr)
         return 0

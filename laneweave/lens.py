@@ -85,7 +85,6 @@ def read_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tables(spark, sf_dir, "part").selectExpr(*_split(_RECORD), f"{_N} AS n", f"CAST({_LEN} AS BIGINT) AS len", f"CAST({_STEP} AS BIGINT) AS step", "p_partkey", "p_size")
-    rows = rows.filter("p_partkey % 4 = 0")
     return rows.selectExpr(
         "ordinal", "chrom", "start", "start + greatest(n - 1, 0) * step + len AS end", "name", "strand",
         "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE start + 40 END AS thick_start",
@@ -123,7 +122,7 @@ refs AS (SELECT CAST(i AS INT) AS ref_id, concat('chr', i) AS name, CAST({LENGTH
 rgs AS (
   SELECT concat('rg', n_nationkey) AS id, CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE concat('sample', n_nationkey % 6) END AS sample,
     concat('lib', n_nationkey % 3) AS library FROM nation),
-ann0 AS (SELECT {_RECORD}, {_N} AS n, CAST({_LEN} AS BIGINT) AS len, CAST({_STEP} AS BIGINT) AS step, p_partkey, p_size FROM part WHERE p_partkey % 4 = 0),
+ann0 AS (SELECT {_RECORD}, {_N} AS n, CAST({_LEN} AS BIGINT) AS len, CAST({_STEP} AS BIGINT) AS step, p_partkey, p_size FROM part),
 ann AS (
   SELECT ordinal, chrom, start, start + greatest(n - 1, 0) * step + len AS "end", name, strand, n,
     CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE start + 40 END AS thick_start,

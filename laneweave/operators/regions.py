@@ -18,7 +18,7 @@ from ..functions import intervals as iv
 
 MODES = ("start", "midpoint", "contained", "best-overlap", "overlap")
 #: Bits of the bin widths.
-WIDTHS = (14, 17, 20, 23, 26, 29, 32)
+WIDTHS = (7, 9, 11, 14, 17, 20, 23, 26, 29, 32)
 
 
 def _level(start: Column, end: Column) -> Column:
@@ -35,7 +35,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_spa
     rs, re_ = right_span
     regions = right.filter(F.col(re_) > F.col(rs)).withColumn("_bits", _level(F.col(rs), F.col(re_)))
     regions = regions.withColumn("_bin", F.explode(F.expr(f"sequence(shiftright({rs}, _bits), shiftright({re_} - 1, _bits))")))
-    used = [r["_bits"] for r in regions.select("_bits").distinct().collect()]  # seven at most
+    used = [r["_bits"] for r in regions.select("_bits").distinct().collect()]  # ten at most: a width that no region has costs nothing
     reads = left.filter(F.col(le) > F.col(ls)).withColumn("_bits", F.explode(F.array(*[F.lit(b) for b in sorted(used)]) if used else F.array().cast("array<int>")))
     reads = reads.withColumn("_bin", F.explode(F.expr(f"sequence(shiftright({ls}, _bits), shiftright({le} - 1, _bits))")))
     joined = reads.join(regions, [on, "_bits", "_bin"])

@@ -1,7 +1,10 @@
-"""What a run does and why: engine, I/O, threads. Pure functions of facts about the input.
+"""Which parts of a file a run scans, told from the file and its index.
 
-Spark runs all engines as one plan (scan, route, deal by key, write); the
-choice is kept because reports and manifests tell it.
+How records are routed, dealt and written is Spark's plan and the same for
+every run. What a run can choose is the scan: ``whole`` reads the file in
+stretches that begin where an index knows of a record (one stretch without an
+index); ``lookup`` reads the chunks alone that the index names for some places.
+A lookup is possible where all that a run writes is at those places.
 """
 
 from __future__ import annotations
@@ -9,84 +12,64 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from ..errors import ConfigError
+from ..sources import bam
 
+#: What a run may ask for: how outputs come about elsewhere; here only ``indexed`` and ``auto`` allow a lookup.
 ENGINES = ("auto", "stream", "indexed", "spool")
 IO_BACKENDS = ("auto", "buffered", "mmap")
-#: Bounds within which a way of running is worth it.
-MAX_INDEXED_REFERENCES, MIN_INDEXED_BYTES = 64, 8 << 20
-MAX_DENSE_STREAM_REGIONS, MAX_INDEXED_REGIONS = 256, 8192
+#: Places that one lookup takes.
+LOOKUP_PLACES = 10_000
+#: Share of the file's bytes beyond which a lookup saves too little.
+LOOKUP_SHARE = 0.5
 
-
-@dataclass(frozen=True)
-class InputFacts:
-    seekable: bool
-    local: bool
-    size: int
-    has_index: bool
-    sort_order: str
-    references: int
+Place = tuple[str, int, int]
 
 
 @dataclass(frozen=True)
-class Mode:
-    """chrom, shard, tag or region; regions and density for the last."""
-
-    kind: str
-    regions: int = 0
-    dense: bool = False
-
-
-@dataclass(frozen=True)
-class Plan:
-    engine: str
+class ScanPlan:
+    scan: str
     reason: str
-    io: str
-    io_reason: str
-
-
-def choose(facts: InputFacts, mode: Mode, threads: int = 1, engine: str = "auto", io: str = "auto") -> Plan:
-    if engine not in ENGINES:
-        raise ConfigError(f"engine must be one of {', '.join(ENGINES)}, not {engine!r}")
-    if io not in IO_BACKENDS:
-        raise ConfigError(f"io must be one of {', '.join(IO_BACKENDS)}, not {io!r}")
-    if engine != "auto":
-        _validate(engine, facts, mode)
-        picked, reason = engine, "asked for"
-    else:
-        picked, reason = _pick(facts, mode, threads)
-    if io == "mmap" and not facts.local:
-        raise ConfigError("only local files can be mapped")
-    return Plan(picked, reason, "buffered", "the page cache serves local files; other stores are read as streams")
-
-
-def _pick(facts: InputFacts, mode: Mode, threads: int) -> tuple[str, str]:
-    placed = facts.sort_order == "coordinate"
-    if mode.kind in ("shard", "tag"):
-        return "spool", f"{mode.kind} keys come in any order"
-    if mode.kind == "region":
-        if mode.dense and mode.regions <= MAX_DENSE_STREAM_REGIONS and placed:
-            return "stream", "regions are dense and few, and the input is sorted"
-        if not mode.dense and mode.regions <= MAX_INDEXED_REGIONS and facts.has_index and facts.seekable:
-            return "indexed", "regions are sparse and the input has an index"
-        return "spool", "regions interleave"
-    if not placed:
-        return "spool", "the input isn't sorted by coordinate"
-    wide = facts.local and facts.seekable and facts.has_index and threads > 1
-    if wide and facts.references <= MAX_INDEXED_REFERENCES and facts.size >= MIN_INDEXED_BYTES:
-        return "indexed", "references can be read side by side"
-    return "stream", "the input is sorted by coordinate"
-
-
-def _validate(engine: str, facts: InputFacts, mode: Mode) -> None:
-    if mode.kind in ("shard", "tag") and engine != "spool":
-        raise ConfigError(f"{mode.kind} mode can't run the {engine} engine")
-    if engine == "indexed" and not (facts.has_index and facts.seekable):
-        raise ConfigError("the indexed engine needs an index and a file that can be sought in")
-
-
-def thread_budget(threads: int, outputs: int) -> dict[str, int]:
-    """Threads for reading and for writing; their sum is the total, whatever the number of outputs."""
-    if threads < 1:
-        raise ConfigError("there must be at least one thread")
-    read = max(1, threads // 4)
-    return {"read": read, "write": max(1, threads - read), "outputs_at_once": max(1, min(outputs, threads - read))}
+    partitions: int
+    scan_bytes: int
+    places: tuple[Place, ...] | None = None
+
+    def told(self) -> dict:
+        return {"engine": "spark", "scan": self.scan, "scan_reason": self.reason, "partitions": self.partitions, "scan_bytes": self.scan_bytes}
+
+
+def joined(places: list[Place]) -> list[Place]:
+    """Places without overlaps, by name and begin."""
+    out: list[Place] = []
+    for name, start, end in sorted(p for p in places if p[1] < p[2]):
+        if out and out[-1][0] == name and start <= out[-1][2]:
+            out[-1] = name, out[-1][1], max(out[-1][2], end)
+        else:
+            out.append((name, start, end))
+    return out
+
+
+def plan(path: str, mode: str, engine: str = "auto", io: str = "auto", places: list[Place] | None = None) -> ScanPlan:
+    """The scan of a run. ``places``: all that it writes from, where that is known; None means any record."""
+    for value, known, what in ((engine, ENGINES, "engine"), (io, IO_BACKENDS, "io")):
+        if value not in known:
+            raise ConfigError(f"{what} must be one of {', '.join(known)}, not {value!r}")
+    if mode in ("shard", "tag") and engine in ("stream", "indexed"):
+        raise ConfigError(f"keys of {mode} runs come in any order: the engine can't be {engine}")
+    if io == "mmap" and "://" in path and not path.startswith("file:"):
+        raise ConfigError("a file of this store can't be mapped")
+    size = bam.file_size(path)
+    indexed = bam.find_index(path) is not None
+    if engine == "indexed" and not indexed:
+        raise ConfigError(f"{path} has no index")
+    whole = bam.stretches([path], bam.SPLIT_BYTES)
+    if engine in ("stream", "spool") or not indexed or places is None:
+        why = "all records may be written" if places is None else "there is no index" if not indexed else f"{engine} was asked for"
+        return ScanPlan("whole", why, len(whole), size)
+    merged = joined(places)
+    if len(merged) > LOOKUP_PLACES:
+        return ScanPlan("whole", "there are too many places to look up", len(whole), size)
+    chunks = bam.targeted([path], merged, False)
+    held = sum(((c.end >> 16) - (c.start >> 16)) + 1 for c in chunks)
+    if engine == "auto" and held > LOOKUP_SHARE * size:
+        return ScanPlan("whole", "the places are in most of the file", len(whole), size)
+    return ScanPlan("lookup", "the index names the chunks of the places", len(chunks), held, tuple(merged))

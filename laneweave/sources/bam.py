@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..errors import CigarError, ConfigError, IndexError_, RecordError
+from ..errors import CigarError, ConfigError, HeaderError, IndexError_, RecordError
 from .bgzf import BgzfReader, has_eof_marker
 from .header import Header
 from .index import Index, candidates, merged
@@ -31,12 +31,12 @@ BATCH_ROWS = 4096
 SPLIT_BYTES = 32 << 20
 
 SCHEMA = (
-    "path string, voffset bigint, ref_id int, pos bigint, mapq smallint, bin int, flag int, l_seq int, next_ref_id int, next_pos bigint, tlen int, "
+    "path string, voffset bigint, ordinal bigint, ref_id int, pos bigint, mapq smallint, bin int, flag int, l_seq int, next_ref_id int, next_pos bigint, tlen int, "
     "qname binary, cigar array<struct<len: bigint, op: int>>, aux binary, body binary, n_bytes bigint"
 )
 _CIGAR = pa.list_(pa.struct([("len", pa.int64()), ("op", pa.int32())]))
 _TYPES = {
-    "path": pa.string(), "voffset": pa.int64(), "ref_id": pa.int32(), "pos": pa.int64(), "mapq": pa.int16(), "bin": pa.int32(), "flag": pa.int32(), "l_seq": pa.int32(),
+    "path": pa.string(), "voffset": pa.int64(), "ordinal": pa.int64(), "ref_id": pa.int32(), "pos": pa.int64(), "mapq": pa.int16(), "bin": pa.int32(), "flag": pa.int32(), "l_seq": pa.int32(),
     "next_ref_id": pa.int32(), "next_pos": pa.int64(), "tlen": pa.int32(), "qname": pa.binary(), "cigar": _CIGAR, "aux": pa.binary(), "body": pa.binary(), "n_bytes": pa.int64(),
 }
 
@@ -110,10 +110,10 @@ class Record:
         """Reference bases, one at least."""
         return max(1, sum(n for n, op in self.cigar() if op in (0, 2, 3, 7, 8)))
 
-    def row(self, names: list[str], path: str, voffset: int) -> tuple:
+    def row(self, names: list[str], path: str, voffset: int, base: int = 0) -> tuple:
         c = self.core
         got = {
-            "path": path, "voffset": voffset, "ref_id": c[0], "pos": c[1], "mapq": c[3], "bin": c[4], "flag": c[6], "l_seq": c[7],
+            "path": path, "voffset": voffset, "ordinal": base + voffset, "ref_id": c[0], "pos": c[1], "mapq": c[3], "bin": c[4], "flag": c[6], "l_seq": c[7],
             "next_ref_id": c[8], "next_pos": c[9], "tlen": c[10], "n_bytes": len(self.body),
         }
         for n in names:
@@ -216,12 +216,30 @@ def load_index(uri: str, header: Header) -> Index | None:
 
 @dataclass
 class Stretch(InputPartition):
+    """Virtual offsets of a file; ``base`` is that of the file's begin where all files are read as one."""
+
     path: str
     start: int
     end: int | None
+    base: int = 0
+
+
+def _bases(paths: list[str]) -> list[int]:
+    sizes = [file_size(p) for p in paths]
+    return [sum(sizes[:i]) << 16 for i in range(len(sizes))]
+
 
+def stretches(paths: list[str], split: int) -> list[Stretch]:
+    """Files whole, cut where their indexes say that records begin."""
+    return [s for p, base in zip(paths, _bases(paths), strict=True) for s in _stretches(p, base, split)]
 
-def _stretches(path: str, split: int) -> list[Stretch]:
+
+def targeted(paths: list[str], regions: list[tuple[str, int, int]], unplaced: bool) -> list[Stretch]:
+    """The chunks that indexes give for regions."""
+    return [s for p, base in zip(paths, _bases(paths), strict=True) for s in _targeted(p, base, regions, unplaced)]
+
+
+def _stretches(path: str, base: int, split: int) -> list[Stretch]:
     header, first = read_header(path)
     index = load_index(path, header)
     cuts = [first]
@@ -229,20 +247,20 @@ def _stretches(path: str, split: int) -> list[Stretch]:
         for at in index.starts():
             if at > cuts[-1] and (at >> 16) - (cuts[-1] >> 16) >= split:
                 cuts.append(at)
-    return [Stretch(path, a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+    return [Stretch(path, a, b, base) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
 
 
-def _targeted(path: str, regions: list[tuple[str, int, int]], unplaced: bool) -> list[Stretch]:
+def _targeted(path: str, base: int, regions: list[tuple[str, int, int]], unplaced: bool) -> list[Stretch]:
     header, first = read_header(path)
     index = load_index(path, header)
     if index is None:
         raise ConfigError(f"{path} has no index to look up regions in")
     names = {name.decode("utf-8", "surrogateescape"): i for i, (name, _) in enumerate(header.references)}
     chunks = [c for name, start, end in regions if name in names for c in index.chunks(names[name], start, end)]
-    out = [Stretch(path, a, b) for a, b in merged(chunks)]
+    out = [Stretch(path, a, b, base) for a, b in merged(chunks)]
     if unplaced and index.unplaced != 0:
         tail = max((r.last for r in index.references), default=0) or first
-        out.append(Stretch(path, tail, None))
+        out.append(Stretch(path, tail, None, base))
     return out
 
 
@@ -260,8 +278,8 @@ class BamReader(DataSourceReader):
 
     def partitions(self) -> list[Stretch]:
         if self.regions is not None:
-            return [s for p in self.paths for s in _targeted(p, self.regions, self.unplaced)]
-        return [s for p in self.paths for s in _stretches(p, self.split)]
+            return targeted(self.paths, self.regions, self.unplaced)
+        return stretches(self.paths, self.split)
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
         fs, path = open_file(part.path)
@@ -270,7 +288,7 @@ class BamReader(DataSourceReader):
             rows: list[tuple] = []
             try:
                 for at, record in records(BgzfReader(f, part.start), part.end, self.limit):
-                    rows.append(record.row(self.names, part.path, at))
+                    rows.append(record.row(self.names, part.path, at, part.base))
                     if len(rows) >= BATCH_ROWS:
                         yield self._batch(rows, schema)
                         rows = []
@@ -307,13 +325,16 @@ class BamDataSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str, columns: list[str] | None = None, regions: list[tuple[str, int, int]] | None = None, permissive: bool = False, **options) -> DataFrame:
-    """Alignments of a file with their ``chrom`` (null where unplaced). ``ordinal`` is the virtual offset: it orders as the file does."""
+    """Alignments of a file, or of several with one dictionary, with their ``chrom`` (null where unplaced).
+
+    ``ordinal`` is the virtual offset, counted on from file to file: it orders as the files do, and no two records share one.
+    """
     from pyspark.sql import functions as F
 
     spark.dataSource.register(BamDataSource)
     reader = spark.read.format("bam")
     wanted = columns or list(_TYPES)
-    for needed in ("voffset", "ref_id"):
+    for needed in ("voffset", "ordinal", "ref_id"):
         if needed not in wanted:
             wanted = [*wanted, needed]
     reader = reader.option("columns", ",".join(wanted))
@@ -323,7 +344,11 @@ def read_bam(spark: SparkSession, path: str, columns: list[str] | None = None, r
         reader = reader.option("mode", "permissive")
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)
-    df = reader.load(path).withColumn("ordinal", F.col("voffset"))
-    header, _ = read_header(path.split(",")[0])
+    df = reader.load(path)
+    first, *others = [p for p in path.split(",") if p]
+    header, _ = read_header(first)
+    for other in others:
+        if read_header(other)[0].references != header.references:
+            raise HeaderError(f"{other} has another reference dictionary than {first}")
     names = header.references_frame(spark).select("ref_id", F.col("name").alias("chrom"))
     return df.join(names, "ref_id", "left")

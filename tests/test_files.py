@@ -8,6 +8,7 @@ from alignments import GROUPS, bam_bytes, header, record, sorted_header, sorted_
 
 from laneweave import api, cli
 from laneweave.errors import ConfigError, HeaderError, IndexError_, RecordError
+from laneweave.plans import planner
 from laneweave.sources import annotation, bam
 from laneweave.sources.bgzf import BgzfReader
 from laneweave.sources.header import Header
@@ -134,6 +135,49 @@ def test_index_reads_less_and_the_same(spark, tmp_path):
         bam.load_index(copy, header([("a", 1), ("b", 1)]))
 
 
+def test_region_runs_read_what_the_index_names(spark, tmp_path):
+    rows = [record(f"r{i}", 0, i * 3000, 0, "100M", n=100) for i in range(3000)]
+    path = tmp_path / "big.bam"
+    path.write_bytes(bam_bytes(header([("chr1", 20_000_000)]), rows))
+    copy = api.split_chrom(spark, str(path), api.RunOptions(str(tmp_path / "out"), append_program=False, compression_level=0)).created_outputs[0]["file"]
+    bed = tmp_path / "few.bed"
+    bed.write_text("chr1\t3000\t9050\ta\nchr1\t4500000\t4506050\tb\n")
+    got = {}
+    for engine in ("auto", "spool"):
+        report = api.split_region(spark, copy, api.RunOptions(str(tmp_path / engine), engine=engine), str(bed))
+        got[engine] = {o["key"]: (o["digest"], o["total"]) for o in report.created_outputs}, report.manifest
+    assert got["auto"][0] == got["spool"][0] and {k: n for k, (_, n) in got["auto"][0].items()} == {"a": 3, "b": 3}
+    looked, whole = got["auto"][1], got["spool"][1]
+    assert (looked["scan"], whole["scan"]) == ("lookup", "whole") and looked["scan_bytes"] < whole["scan_bytes"]
+    assert looked["counters"]["input"] < 0.6 * whole["counters"]["input"] == 0.6 * 3000
+    filed = api.split_region(spark, copy, api.RunOptions(str(tmp_path / "f")), str(bed), unmatched="file")
+    assert filed.plan.scan == "whole" and sum(o["total"] for o in filed.created_outputs) == 3000
+    for mode, engine in (("shard", "stream"), ("tag", "indexed"), ("chrom", "odd")):
+        with pytest.raises(ConfigError):
+            planner.plan(copy, mode, engine)
+    with pytest.raises(ConfigError):
+        planner.plan(str(path), "chrom", "indexed")
+
+
+def test_several_files(spark, tmp_path):
+    """Records of different files never share an ordinal, and files must have one dictionary."""
+    from laneweave.operators import regions
+
+    paths = []
+    for i, at in enumerate((100, 900)):
+        path = tmp_path / f"{i}.bam"
+        path.write_bytes(bam_bytes(header([("chr1", 5000)]), [record(f"r{i}", 0, at, 0, "50M", n=50)]))
+        paths.append(str(path))
+    aln = bam.read_bam(spark, ",".join(paths), ["path", "pos", "flag", "cigar"])
+    assert [r["pos"] for r in aln.orderBy("ordinal").collect()] == [100, 900] and aln.select("ordinal").distinct().count() == 2
+    place = spark.createDataFrame([(0, "a", "chr1", [(90, 200)], 90, 200)], "ordinal long, key string, chrom string, segments array<struct<start: long, end: long>>, env_start long, env_end long")
+    assert {r["pos"]: r["keys"] for r in regions.route_region(aln, place).collect()} == {100: ["a"], 900: []}
+    other = tmp_path / "other.bam"
+    other.write_bytes(bam_bytes(header([("chr2", 5000)]), [record("x", 0, 1, 0, "50M", n=50)]))
+    with pytest.raises(HeaderError):
+        bam.read_bam(spark, f"{paths[0]},{other}")
+
+
 def test_csi(spark, tmp_path):
     path = tmp_path / "huge.bam"
     path.write_bytes(bam_bytes(header([("chrHuge", 600_000_000)]), [record("x", 0, 550_000_000)]))
