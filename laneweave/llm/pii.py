@@ -12,7 +12,9 @@ span ``crf-<kind>`` (its core). So a number that stands once in full and once
 in part is found both times.
 
 Weights: unary ones by logistic regression of base labels on token features,
-transition and skip ones from counts, all on a bounded sample of documents.
+transition and skip ones from counts, all on a bounded sample of documents;
+agreement with a clamped token is SKIP at least. A number that stands twice and
+is no base span has only the counts to go by.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans.
 """
@@ -35,7 +37,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"crf-{k}" for k in BASE))
 CERTAIN = 0.9
 ROUNDS = 8
-#: Least log-odds with which tokens that are alike have one kind.
+#: Bound of the log-odds of skip links.
 SKIP = 6.0
 #: Documents that the weights are learned from, about.
 TRAIN_DOCS = 3000
@@ -185,10 +187,11 @@ class Tokens:
 
 
 class Field:
-    """Weights: unary (labels x features), transitions and skip agreement (labels x labels)."""
+    """Weights: unary (labels x features), transitions, skip agreement with a clamped token, and of two free ones (labels x labels)."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, free: np.ndarray | None = None):
         self.unary, self.chain, self.skip = unary, chain, skip
+        self.free = skip if free is None else free
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
         """Label marginals of the tokens by loopy sum-product passing, damped by half."""
@@ -197,7 +200,7 @@ class Field:
         for i, label in enumerate(tokens.clamped):
             if label >= 0:
                 own[i] = np.where(np.arange(labels) == label, 0, -60.0)
-        edges = [(i - 1, i, self.chain) for i in range(1, n) if tokens.near[i]] + [(i, j, self.skip) for i, j in tokens.links()]
+        edges = [(i - 1, i, self.chain) for i in range(1, n) if tokens.near[i]] + [(i, j, self.free if max(tokens.clamped[i], tokens.clamped[j]) < 0 else self.skip) for i, j in tokens.links()]
         if edges:
             a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
             potential = np.stack([e[2] for e in edges])
@@ -282,7 +285,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             if r["kind"] == "skip":
                 skip[r["b"], r["a"]] += r["n"]
     x = (np.array(bits, np.int64).reshape(-1, 1) >> np.arange(FEATURES) & 1).astype(float)
-    return Field(_softmax_weights(x, np.array(label, int), np.array(weight, float), labels), _pointwise(chain), _agreement(skip))
+    return Field(_softmax_weights(x, np.array(label, int), np.array(weight, float), labels), _pointwise(chain), _agreement(skip), _pointwise(skip))
 
 
 def _softmax_weights(x: np.ndarray, label: np.ndarray, weight: np.ndarray, labels: int) -> np.ndarray:
@@ -310,7 +313,7 @@ def _pointwise(counts: np.ndarray) -> np.ndarray:
 
 
 def _agreement(counts: np.ndarray) -> np.ndarray:
-    """As above; agreement of kinds is strong whatever the sample, so that a likeness outweighs a token's looks."""
+    """As above; for links to a token under a base span, where agreement of kinds is strong whatever the sample: what is like a known one is one."""
     out = _pointwise(counts)
     kinds = np.arange(len(counts)) < OUTSIDE
     return np.where(np.eye(len(counts), dtype=bool) & kinds, np.maximum(out, SKIP), np.minimum(out, SKIP))
