@@ -6,8 +6,9 @@ a run of some item. Where that reaches ``window`` words, a window of an item
 ends there, and the words under it are hit. An item of fewer words (but not
 none) is a window as a whole.
 
-Null texts have no words; items without words never match. Repeated items
-and repeated documents each count on their own.
+Null texts have no words; items without words never match. Rows that repeat
+an item id are one item, of all their texts; a null id is one more item.
+Repeated documents each count on their own.
 """
 
 from __future__ import annotations
@@ -48,16 +49,18 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link: list[int] = [-1]
         self.length: list[int] = [0]
-        self.items: list[object] = []
+        numbers: dict[object, int] = {}
+        self.number: list[int] = []  # of each run's item
         runs: list[list[int]] = []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             if ids:
-                self.items.append(item)
+                self.number.append(numbers.setdefault(item, len(numbers)))
                 runs.append(ids)
                 last = 0
                 for word in ids:
                     last = self._extend(last, word)
+        self.items = list(numbers)
         self.shortest = min([window, *map(len, runs)])
         self._mark(runs)
 
@@ -98,19 +101,22 @@ class Automaton:
             if self.length[s] >= self.window:
                 self.at_window[s] = s if self.length[self.link[s]] < self.window else self.at_window[self.link[s]]
         owners: list[set[int]] = [set() for _ in range(n)]
-        whole: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        whole: list[dict[int, set[int]]] = [{} for _ in range(n)]
         for i, run in enumerate(runs):
             state, length = 0, 0
             for word in run:
                 state, length = self.next[state][word], length + 1
                 if length >= self.window:
-                    owners[self.at_window[self._suffix(state, length)]].add(i)
+                    owners[self.at_window[self._suffix(state, length)]].add(self.number[i])
             if length < self.window:
-                whole[state].append((length, i))
-        # in an automaton of several items a run's state is the one that reading it ends in
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * n
+                whole[state].setdefault(length, set()).add(self.number[i])
+        # in an automaton of several items a run's state is the one that reading it ends in;
+        # what a state has of its own is kept, and the next state up the links that has any
+        self.short: list[tuple[tuple[int, tuple[int, ...]], ...]] = [tuple((k, tuple(sorted(v))) for k, v in sorted(x.items())) for x in whole]
+        self.up = [0] * n
         for s in order:
-            self.short[s] = (*self.short[max(self.link[s], 0)], *whole[s])
+            above = max(self.link[s], 0)
+            self.up[s] = above if self.short[above] else self.up[above]
         self.owners = [tuple(sorted(x)) for x in owners]
 
     def _suffix(self, state: int, length: int) -> int:
@@ -143,10 +149,13 @@ class Automaton:
                 if matched >= window:
                     found.update(self.owners[self.at_window[self._suffix(state, matched)]])
                     covered = window
-                for size, item in self.short[state]:
-                    if size <= matched:
-                        found.add(item)
-                        covered = max(covered, size)
+                at = state if self.short[state] else self.up[state]
+                while at:
+                    for size, own in self.short[at]:
+                        if size <= matched:
+                            found.update(own)
+                            covered = max(covered, size)
+                    at = self.up[at]
                 if covered:
                     first = i - covered
                     while spans and spans[-1][1] >= first:
@@ -194,7 +203,7 @@ def _joined(own: dict, more: dict) -> dict:
     return {
         "n_words": own["n_words"],
         "n_hit": sum(b - a for a, b in spans),
-        "items": own["items"] + more["items"],
+        "items": own["items"] + [i for i in more["items"] if i not in set(own["items"])],
         "spans": [{"first": a, "end": b} for a, b in spans],
     }
 
@@ -202,7 +211,7 @@ def _joined(own: dict, more: dict) -> dict:
 def _of(model: Automaton, text: str | None) -> dict:
     words = words_of(text)
     spans, items = model.match(words)
-    return {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": [str(i) for i in items], "spans": [{"first": a, "end": b} for a, b in spans]}
+    return {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": [None if i is None else str(i) for i in items], "spans": [{"first": a, "end": b} for a, b in spans]}
 
 
 def mark(docs: DataFrame, blocks: list[Automaton], text_col: str = "text", out: str = "hits") -> DataFrame:
@@ -245,8 +254,9 @@ def clean(docs: DataFrame, blocks: list[Automaton], text_col: str = "text", max_
     """``docs`` without contamination.
 
     Documents whose share of hit words is above ``max_coverage`` go; from the
-    others, hit spans of at least ``max_span`` words are cut out. Untouched
-    texts, nulls among them, stay as they are.
+    others, hit spans of at least ``max_span`` words are cut out; shorter ones,
+    which are whole items of fewer words, stay, as common phrases may be items.
+    Untouched texts, nulls among them, stay as they are.
     """
     marked = mark(docs, blocks, text_col, "hits")
     hits = [c for c in marked.columns if c not in docs.columns][0]
