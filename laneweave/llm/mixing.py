@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -223,16 +223,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = parts.groupBy("key", "source_no", "bucket", "nth", "pass_no", "size").agg(
         F.sum("n_words").alias("words"), F.collect_list(F.struct("from_word", "n_words")).alias("runs")  # as many as blocks in the document
     )
+    own, whole, taken, split = (free_name(docs, n) for n in ("_key", "_whole", "_runs", "_words"))
     runs = runs.select(
-        F.col("key").alias("_key"),
-        (F.col("words") == F.col("size")).alias("_whole"),
-        F.array_sort("runs").alias("_runs"),
+        F.col("key").alias(own),
+        (F.col("words") == F.col("size")).alias(whole),
+        F.array_sort("runs").alias(taken),
     )
-    once = docs.withColumn("_key", key).dropDuplicates(["_key"])
+    once = docs.withColumn(own, key).dropDuplicates([own])
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
-    out = runs.join(once, "_key").withColumn("_words", F.when(~F.col("_whole"), words))
-    out = out.withColumn(text_col, F.when(F.col("_whole"), F.col(text_col)).otherwise(cut))
+    cut = F.array_join(F.flatten(F.transform(taken, lambda r: F.slice(F.col(split), (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))), " ")
+    out = runs.join(once, own).withColumn(split, F.when(~F.col(whole), words))
+    out = out.withColumn(text_col, F.when(F.col(whole), F.col(text_col)).otherwise(cut))
     if length_col in columns:
         out = out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
     return out.select(*columns)

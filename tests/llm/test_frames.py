@@ -339,6 +339,31 @@ def test_held_out_accuracy(spark):
         assert (got.predicted == got[column]).mean() > least
 
 
+def test_blocks_of_items_make_no_difference(spark):
+    from laneweave.llm import decontaminate as dc
+
+    rng = random.Random(29)
+    words = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = spark.createDataFrame([(rng.choice(["i", "j", "k", None]), words(rng.randrange(1, 9))) for _ in range(12)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, words(20)) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    blocks = dc.automata(items, window=4, block_words=10)
+    assert len(blocks) > 2
+    got = [dc.mark(docs, b).orderBy("doc_id").collect() for b in (blocks, dc.automata(items, window=4))]
+    plain = [[(r["hits"]["n_hit"], r["hits"]["spans"], sorted(map(str, r["hits"]["items"]))) for r in rows] for rows in got]
+    assert plain[0] == plain[1] and any(n for n, *_ in plain[0])
+
+
+def test_mix_keeps_other_columns(spark):
+    """Columns of whatever name keep their values."""
+    from laneweave.llm import mixing
+
+    rows = [(i, "w " * (40 + i), "ab"[i % 2], i, f"k{i}", i * 2, f"v{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _words long, _key string, _whole long, _runs string")
+    out = mixing.mixed_documents(docs, length_col=None).collect()
+    assert {r["source"] for r in out} == {"a", "b"}
+    assert all((r["_words"], r["_key"], r["_whole"], r["_runs"]) == rows[r["doc_id"]][3:] for r in out)
+
+
 def test_pipeline(spark, awkward):
     import corpus_pipeline as cp
     from laneweave.llm.common import read_table, staged

@@ -270,6 +270,17 @@ def test_automaton_against_all_windows():
         assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_repeated_items_are_one():
+    from laneweave.llm.decontaminate import Automaton
+
+    model = Automaton([("a", "x y"), ("b", "x y"), ("a", "q r"), ("a", "x y"), (None, "r")], 3)
+    spans, found = model.match(b"x y z q r".split())
+    assert spans == [(0, 2), (3, 5)] and sorted(map(str, found)) == ["None", "a", "b"]
+    many = Automaton([(i % 3000, "w") for i in range(6000)] + [("long", "w " * 200)], 300)  # no state copies another's items
+    assert sum(len(own) for entries in many.short for _, own in entries) == 3001
+    assert len(many.match([b"w"] * 5)[1]) == 3000 and len(many.match([b"w"] * 200)[1]) == 3001
+
+
 # ---------------------------------------------------------------- alignment and sketches
 
 
@@ -359,17 +370,16 @@ def test_base_spans_against_plain_patterns(text):
     assert pii.base_spans(text) == sorted(expected)
 
 
-def test_marginals_against_all_labellings():
+@pytest.mark.parametrize("text", ["call +1 (017) 555-7713 x 9x", "call +1 (017) 555-7713 or x 0175557713 x 9x", "a 12345678 of b 7x and 12345678 c", "17 a 41-x b 41-x of +1 (017) 555-7713 d 0175557713"])
+def test_marginals_against_all_labellings(text):
     from itertools import product
 
     from laneweave.llm import pii
 
     rng = np.random.default_rng(8)
     labels = len(pii.BASE) + 1
-    field = pii.Field(rng.normal(size=(labels, pii.FEATURES)), rng.normal(size=(labels, labels)), rng.normal(size=(labels, labels)))
-    text = "call +1 (017) 555-7713 x 9x"
-    tokens = pii.Tokens(text, pii.base_spans(text))
-    assert not tokens.links()  # a tree, on which message passing is exact
+    field = pii.Field(rng.normal(size=(labels, pii.FEATURES)), *[rng.normal(size=(labels, labels)) for _ in range(3)])
+    tokens = pii.Tokens(text, pii.base_spans(text))  # trees with their skip links, on which message passing is exact
     n = len(tokens.cores)
     own = np.array([pii.features(c) for c in tokens.cores]) @ field.unary.T
     total = np.zeros((n, labels))
@@ -377,6 +387,7 @@ def test_marginals_against_all_labellings():
         if any(k >= 0 and y != k for y, k in zip(ys, tokens.clamped, strict=True)):
             continue
         score = sum(own[i, y] for i, y in enumerate(ys) if tokens.clamped[i] < 0) + sum(field.chain[ys[i - 1], ys[i]] for i in range(1, n) if tokens.near[i])
+        score += sum((field.skip if max(tokens.clamped[i], tokens.clamped[j]) >= 0 else field.free)[ys[i], ys[j]] for i, j in tokens.links())
         for i, y in enumerate(ys):
             total[i, y] += np.exp(score)
     assert np.allclose(field.marginals(tokens), total / total.sum(axis=1, keepdims=True), atol=0.02)
