@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from .errors import ConfigError
+
 _local: dict[str, str] = {}
 
 
@@ -15,6 +18,8 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; under a temporary folder where that is unset (one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             holder = tempfile.TemporaryDirectory(prefix="laneweave-")
