@@ -204,6 +204,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == sorted({find(i) for i in range(len(texts))})
 
 
+def test_recall_of_near_duplicates(spark):
+    """Documents whose id is divisible by 10 against all: their links, found by comparing all texts, are within classes."""
+    from laneweave.llm import order_minhash as om
+
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    found = om.near_duplicates(spark.createDataFrame(docs[["doc_id", "text"]])).toPandas()
+    label = docs.doc_id.map(found.set_index("id").class_id).to_numpy()
+    codes = [om.word_codes(t) for t in docs.text]
+    n, bags = np.array([len(c) for c in codes]), om.bags(codes).astype(int)
+    links = []
+    for i in np.flatnonzero(docs.doc_id % 10 == 0):
+        off = np.maximum(n, n[i]) - np.minimum(bags, bags[i]).sum(axis=1)
+        near = np.flatnonzero(off <= np.floor(np.maximum(n, n[i]) * 0.2 + 1e-9))
+        links += [label[i] == label[j] for j in near if j != i and om.alike(codes[i], codes[j])]
+    assert len(links) > 20 and np.mean(links) >= 0.99
+
+
 @pytest.mark.parametrize("block", [1, 5000, 1 << 20])
 def test_leftovers_of_a_bucket_are_compared(spark, monkeypatch, block):
     """Every two rows of a bucket with different labels meet, in whatever blocks and length classes they are."""
