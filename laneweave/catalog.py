@@ -257,12 +257,6 @@ def shard_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@_query("shard_numbers")
-def shard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = routing.emissions(routing.route_shard(lens.alignments(spark, sf_dir), F.col("qname"), 16))
-    return routed.groupBy("key").agg(F.count("*").alias("n"))
-
-
 @_query("shard_declared", "SELECT concat('shard-', lpad(CAST(i AS VARCHAR), 4, '0')) AS key FROM range(16) t(i) UNION ALL SELECT 'no-key'")
 def shard_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.declared_shard_keys(spark, 16)
@@ -549,8 +543,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import run_catalog  # noqa: F401  adds its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
