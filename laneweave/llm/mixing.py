@@ -5,10 +5,13 @@ into blocks of ``BLOCK_WORDS``. Targets are weights capped at a multiple of
 the source's size, the excess reshared. The output is a sequence of slots in
 shards of ``SHARD_SLOTS``; each slot takes one block.
 
-* The sources' slot counts in the shards are a multinomial draw conditioned on
-  the totals: a pseudorandom permutation deals each source's exact quota over
-  all slots. (Unconditioned counts would stray from the targets and break the
-  cap on repeats; the shards' counts vary as they would without the condition.)
+* Each shard's slot counts by source are a multinomial draw with the quotas'
+  shares: every slot of a shard draws a source, and the counts are kept as a
+  table (:meth:`Mix.counts`). Free counts would stray from the targets and break
+  the cap on repeats, so what a source drew beyond its quota, in its last shards,
+  goes to the sources that drew less than theirs; all other counts stay as drawn.
+* The counts decide which slots there are: a source's slots are numbered on from
+  shard to shard.
 * A source's i-th slot takes block ``perm(i mod blocks)`` of pass ``i div
   blocks``, with another pseudorandom permutation for each source and pass.
   So no block, and no document, is taken more than ``ceil(cap)`` times.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, staged
@@ -39,6 +42,8 @@ SHARD_SLOTS = 1024
 BUCKET_ROWS = 4096
 #: Slots that one row of the dealt-out slot table stands for.
 CHUNK_SLOTS = 8192
+#: Shards, about, that one task draws at least, and those within which slot numbers are summed.
+DRAW_SHARDS, STRETCH_SHARDS = 16, 1024
 ROUNDS = 12
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,6 +86,28 @@ def permuted(x: Column, n: Column, rounds: Column, backwards: bool = False) -> C
     return F.aggregate(F.reverse(rounds) if backwards else rounds, x.cast("long"), swapped)
 
 
+# ---------------------------------------------------------------- draws
+
+
+def _ends(sources: DataFrame, end: Column) -> DataFrame:
+    """One row: _one, ends (those of the sources' parts of a line, in source order)."""
+    return sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("source_no", end.alias("end")))), lambda x: x["end"]).alias("ends")).withColumn("_one", F.lit(1))
+
+
+def _place_in(number: Column, n: int) -> Column:
+    """The source whose part of the line holds a number: how many of the ``n`` ends aren't above it, by halving."""
+    steps = F.array(*[F.lit(1 << b).cast("long") for b in reversed(range(max(n, 1).bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= n) & (F.get("ends", (at + step - 1).cast("int")) <= number), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0).cast("long"), further)
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # ---------------------------------------------------------------- plan
 
 
@@ -92,26 +119,74 @@ class Mix:
     rows: DataFrame  # doc_id, size, key, source_no, bucket, nth, first_word
     block_words: int
 
+    def draws(self) -> DataFrame:
+        """What each shard draws: shard, source_no, drawn (1 or more)."""
+        spark = self.sources.sparkSession
+        total, n_sources = self.sources.agg(F.coalesce(F.max("slots"), F.lit(0)), F.count("*")).first()
+        shards = -(-total // SHARD_SLOTS)
+        drawing = spark.range(0, shards, 1, max(1, min(_partitions(spark), shards // DRAW_SHARDS))).select(F.col("id").alias("shard"))
+        begin = F.col("shard") * SHARD_SLOTS
+        slot = drawing.withColumn("place", F.explode(F.sequence(begin, F.least(begin + SHARD_SLOTS, F.lit(total)) - 1)))
+        key = F.expr(f"place div {PRIME}") * 16807 + 5
+        number = (_hash(F.col("place"), key) * PRIME + _hash(F.col("place"), key + 7919)) % total if total else F.lit(0)
+        ends = _ends(self.sources, F.col("slots_before") + F.col("quota"))
+        found = slot.withColumn("number", number).withColumn("_one", F.lit(1)).join(ends, "_one")
+        return found.select("shard", _place_in(F.col("number"), n_sources).alias("source_no")).groupBy("shard", "source_no").agg(F.count("*").alias("drawn"))
+
+    def counts(self) -> DataFrame:
+        """Slots of shards by source: shard, source_no, first (number of the source's first one there), n. Sources' sums are their quotas."""
+        drawn = staged(self.draws(), "mix-draws").withColumn("stretch", F.expr(f"shard div {STRETCH_SHARDS}"))
+        # numbers of slots: sums of stretches before, then a running sum within the stretch
+        sums = drawn.groupBy("source_no", "stretch").agg(F.sum("drawn").alias("stretch_drawn"))
+        before = Window.partitionBy("source_no").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        bases = sums.withColumn("base", F.coalesce(F.sum("stretch_drawn").over(before), F.lit(0))).drop("stretch_drawn")
+        within = Window.partitionBy("source_no", "stretch").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+        rows = drawn.withColumn("inside", F.sum("drawn").over(within) - F.col("drawn")).join(bases, ["source_no", "stretch"])
+        rows = rows.select("shard", "source_no", (F.col("base") + F.col("inside")).alias("first"), "drawn")
+        # one row for each source from here
+        earlier = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+        all_drawn = sums.groupBy("source_no").agg(F.sum("stretch_drawn").alias("all_drawn"))
+        over, under = F.greatest(F.col("all_drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("all_drawn"), F.lit(0))
+        books = (
+            self.sources.select("source_no", "quota")
+            .join(all_drawn, "source_no", "left")
+            .withColumn("all_drawn", F.coalesce("all_drawn", F.lit(0)))
+            .withColumn("over_before", F.coalesce(F.sum(over).over(earlier), F.lit(0)))
+            .withColumn("under_before", F.coalesce(F.sum(under).over(earlier), F.lit(0)))
+            .withColumn("under", under)
+        )
+        books = staged(books, "mix-books")
+        rows = rows.join(books.select("source_no", "quota", "over_before"), "source_no")
+        last = F.col("first") + F.col("drawn")
+        kept = rows.select("shard", "source_no", "first", (F.least(last, F.col("quota")) - F.col("first")).alias("n")).filter("n > 0")
+        spare = rows.filter(last > F.col("quota")).withColumn("nth", F.explode(F.sequence(F.greatest("first", "quota"), last - 1)))
+        spare = spare.select("shard", (F.col("over_before") + F.col("nth") - F.col("quota")).alias("number"), F.lit(1).alias("_one"))
+        ends = _ends(books, F.col("under_before") + F.col("under"))
+        given = spare.join(ends, "_one").select("shard", "number", _place_in(F.col("number"), books.count()).alias("source_no")).join(books, "source_no")
+        given = given.select("shard", "source_no", (F.col("all_drawn") + F.col("number") - F.col("under_before")).alias("first"), F.lit(1).cast("long").alias("n"))
+        return kept.union(given)
+
     def slots(self) -> DataFrame:
         """All output slots: shard, slot, source_no, pass_no, block."""
-        passes = self.sources.filter(F.col("quota") > 0).withColumn("pass_no", F.explode(F.expr("sequence(0L, (quota - 1) div blocks)")))
-        passes = passes.withColumn("here", F.least(F.col("blocks"), F.col("quota") - F.col("pass_no") * F.col("blocks")))
-        passes = passes.withColumn("deal", turns(F.col("slots"), F.lit(1))).withColumn("order", turns(F.col("blocks"), F.col("source_no") * 1009 + F.col("pass_no") + 2))
-        chunks = passes.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (here - 1) div {CHUNK_SLOTS})")))
-        spread = chunks.select("source_no", "pass_no", "blocks", "here", "slots_before", "slots", "chunk", "deal", "order")
+        sources = self.sources.filter(F.col("quota") > 0)
+        total = sources.agg(F.max("slots")).first()[0] or 0
+        in_shard = Window.partitionBy("shard").orderBy("source_no", "first").rowsBetween(Window.unboundedPreceding, 0)
+        placed = self.counts().withColumn("place", F.sum("n").over(in_shard) - F.col("n")).withColumn("held", F.sum("n").over(Window.partitionBy("shard")))
         # a few bytes a row here, many slots after: a number of partitions of their own, which isn't coalesced
-        total = self.sources.agg(F.max("slots")).first()[0] or 0
-        most = int(self.sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = spread.repartition(max(1, min(most, total // CHUNK_SLOTS)), "source_no", "pass_no", "chunk")
-        first = F.col("chunk") * CHUNK_SLOTS
-        one = spread.withColumn("i", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("here")) - 1)))
-        nth = F.col("slots_before") + F.col("pass_no") * F.col("blocks") + F.col("i")
-        return one.withColumn("place", permuted(nth, F.col("slots"), F.col("deal"), backwards=True)).select(
-            F.expr(f"place div {SHARD_SLOTS}").alias("shard"),
-            (F.col("place") % SHARD_SLOTS).alias("slot"),
+        spread = placed.repartition(max(1, min(_partitions(sources.sparkSession), total // CHUNK_SLOTS)), "shard", "source_no")
+        runs = spread.join(sources.select("source_no", "blocks"), "source_no")
+        runs = runs.withColumn("pass_no", F.explode(F.expr("sequence(first div blocks, (first + n - 1) div blocks)")))
+        begin = F.greatest(F.col("first"), F.col("pass_no") * F.col("blocks"))
+        end = F.least(F.col("first") + F.col("n"), (F.col("pass_no") + 1) * F.col("blocks"))
+        order = turns(F.col("blocks"), F.col("source_no") * 1009 + F.col("pass_no") + 2)
+        runs = runs.withColumn("order", order).withColumn("deal", turns(F.col("held"), F.col("shard") + 1))
+        one = runs.withColumn("i", F.explode(F.sequence(begin, end - 1)))
+        return one.select(
+            "shard",
+            permuted(F.col("place") + F.col("i") - F.col("first"), F.col("held"), F.col("deal")).alias("slot"),
             "source_no",
             "pass_no",
-            permuted(F.col("i"), F.col("blocks"), F.col("order")).alias("block"),
+            permuted(F.col("i") - F.col("pass_no") * F.col("blocks"), F.col("blocks"), F.col("order")).alias("block"),
         )
 
     def pieces(self) -> DataFrame:
@@ -127,11 +202,11 @@ class Mix:
         )
 
     def taken(self) -> DataFrame:
-        """One row for each document: doc_id, size, source_no, taken (words that the mix takes, repeats counted)."""
-        uses = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+        """One row for each document: doc_id, size, source_no, taken (words that the mix takes, repeats counted), first_shard (the least shard with words of it, null without)."""
+        uses = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("uses"), F.min("shard").alias("first_shard"))
         joined = self.pieces().join(uses, ["source_no", "block"], "left")
         words = F.coalesce(F.sum(F.col("n_words") * F.col("uses")), F.lit(0)).cast("long")
-        return joined.groupBy("source_no", "bucket", "nth", "doc_id", "size").agg(words.alias("taken")).drop("bucket", "nth")
+        return joined.groupBy("source_no", "bucket", "nth", "doc_id", "size").agg(words.alias("taken"), F.min("first_shard").alias("first_shard")).drop("bucket", "nth")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -251,7 +326,7 @@ def oracle_sql() -> str:
         rounds.append(
             f"k{r} AS (SELECT *, (seed % {PRIME} * 16807 + {r * 104729 + 77}) % {PRIME} AS k FROM {at}), "
             f"v{r} AS (SELECT *, ((({hashed('1', 'k')}) * {PRIME} + ({hashed('2', 'k')})) % n + n - x) % n AS p FROM k{r}), "
-            f"u{r + 1} AS (SELECT source_no, n, seed, CASE WHEN (({hashed('greatest(x, p)', 'k')}) // 32768) % 2 = 1 THEN p ELSE x END AS x FROM v{r})"
+            f"u{r + 1} AS (SELECT source_no, shard, n, seed, CASE WHEN (({hashed('greatest(x, p)', 'k')}) // 32768) % 2 = 1 THEN p ELSE x END AS x FROM v{r})"
         )
         at = f"u{r + 1}"
     weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
@@ -270,20 +345,32 @@ s2 AS (
 s3 AS (SELECT *, (everything - capped) / weights_left AS lvl FROM s2),
 lv AS (SELECT arg_min(lvl, place) AS lvl FROM s3 WHERE lvl <= source_size * {CAP} / weight),
 s4 AS (SELECT s3.* EXCLUDE (lvl), least(CAST(source_size * {CAP} AS DOUBLE), lv.lvl * weight) AS target, CAST(ceil(source_size / {b}) AS BIGINT) AS blocks FROM s3, lv),
-s AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS quota FROM s4),
+s AS MATERIALIZED (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS quota FROM s4),
 o AS (
   SELECT d.doc_id, d.size, s.source_no, s.source_size, s.target,
     CAST(sum(d.size) OVER (PARTITION BY s.source_no ORDER BY ((coalesce(doc_id, -1) % {PRIME} + {PRIME}) % {PRIME}) * 48271 % {PRIME} % buckets, doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS first_word,
     row_number() OVER () AS r
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, nb),
-u0 AS (
-  SELECT source_no, blocks AS n, source_no * 1009 + i // blocks + 2 AS seed, i % blocks AS x
-  FROM (SELECT source_no, blocks, unnest(range(0, quota)) AS i FROM s WHERE quota > 0)),
+total AS (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS slots FROM s),
+sb AS MATERIALIZED (SELECT *, CAST(sum(quota) OVER (ORDER BY source_no) - quota AS BIGINT) AS slots_before FROM s),
+pl AS (SELECT unnest(range(0, (SELECT slots FROM total))) AS place),
+pn AS MATERIALIZED (SELECT place, ({hashed('place', f'place // {PRIME} * 16807 + 5')}) * {PRIME} + ({hashed('place', f'place // {PRIME} * 16807 + 7924')}) AS number FROM pl),
+dr AS MATERIALIZED (
+  SELECT p // {SHARD_SLOTS} AS shard, source_no, quota, row_number() OVER (PARTITION BY source_no ORDER BY p) - 1 AS i
+  FROM (SELECT place AS p, number % slots AS number FROM pn, total) JOIN sb ON slots_before <= number AND number < slots_before + quota),
+ex AS (SELECT shard, row_number() OVER (ORDER BY source_no, i) AS e FROM dr WHERE i >= quota),
+cn AS (SELECT source_no, count(*) AS drawn FROM dr GROUP BY source_no),
+lk AS (
+  SELECT source_no, unnest(range(drawn, quota)) AS i FROM (SELECT s.source_no, coalesce(drawn, 0) AS drawn, quota FROM s LEFT JOIN cn USING (source_no)) WHERE quota > drawn),
+ln AS (SELECT *, row_number() OVER (ORDER BY source_no, i) AS e FROM lk),
+sl AS MATERIALIZED (SELECT shard, source_no, i FROM dr WHERE i < quota UNION ALL SELECT shard, source_no, i FROM ex JOIN ln USING (e)),
+u0 AS MATERIALIZED (
+  SELECT source_no, shard, blocks AS n, source_no * 1009 + i // blocks + 2 AS seed, i % blocks AS x FROM sl JOIN s USING (source_no)),
 {", ".join(rounds)},
-uses AS (SELECT source_no, x AS block, count(*) AS uses FROM {at} GROUP BY source_no, x),
+uses AS (SELECT source_no, x AS block, count(*) AS uses, min(shard) AS first_shard FROM {at} GROUP BY source_no, x),
 pieces AS (
   SELECT r, source_no, block, least(first_word + size, (block + 1) * {b}) - greatest(first_word, block * {b}) AS n_words
   FROM (SELECT *, unnest(range(first_word // {b}, (first_word + size - 1) // {b} + 1)) AS block FROM o WHERE size > 0)),
-t AS (SELECT r, sum(n_words * uses) AS taken FROM pieces JOIN uses USING (source_no, block) GROUP BY r)
-SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN t USING (r)
+t AS (SELECT r, sum(n_words * uses) AS taken, min(first_shard) AS first_shard FROM pieces JOIN uses USING (source_no, block) GROUP BY r)
+SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken, CAST(t.first_shard AS BIGINT) AS first_shard FROM o LEFT JOIN t USING (r)
 """

@@ -35,7 +35,7 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     sources = mix.sources.select("source_no", "source_size", "target")
-    return mix.taken().join(sources, "source_no").select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken().join(sources, "source_no").select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
