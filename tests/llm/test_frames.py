@@ -343,6 +343,29 @@ def test_slots_join_blocks(spark, awkward):
     assert len(slots) == total and sorted(slots.shard * mixing.SHARD_SLOTS + slots.slot) == list(range(total))
 
 
+def test_shards_draw_their_counts(spark):
+    from laneweave.llm import mixing
+    from laneweave.llm.common import read_table
+
+    mix = mixing.plan(read_table(spark, "/root/testdata/sf0.01", "documents"))
+    sources = mix.sources.toPandas().set_index("source_no")
+    drawn, counts, slots = mix.draws().toPandas(), mix.counts().toPandas(), mix.slots().toPandas()
+    total = int(sources.slots.iloc[0])
+    # as plain Python draws them
+    hashed = lambda x, key: (lambda one: (one * (one + 16807) % mixing.PRIME * 69621 + 12345) % mixing.PRIME)((x % mixing.PRIME * 48271 + key) % mixing.PRIME)
+    plain = {}
+    for place in range(total):
+        number = (hashed(place, 5) * mixing.PRIME + hashed(place, 7924)) % total
+        own = next(k for k, r in sources.iterrows() if r.slots_before <= number < r.slots_before + r.quota)
+        plain[place // mixing.SHARD_SLOTS, own] = plain.get((place // mixing.SHARD_SLOTS, own), 0) + 1
+    assert {(r.shard, r.source_no): r.drawn for r in drawn.itertuples()} == plain
+    # each source's numbers are there once, and shards keep their sizes
+    for k, rows in counts.groupby("source_no"):
+        assert sorted(i for r in rows.itertuples() for i in range(r.first, r.first + r.n)) == list(range(sources.quota[k]))
+    assert counts.groupby("shard").n.sum().to_dict() == drawn.groupby("shard").drawn.sum().to_dict()
+    assert slots.groupby(["shard", "source_no"]).size().to_dict() == counts.groupby(["shard", "source_no"]).n.sum().to_dict()
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     labels = pd.read_parquet(f"{folder}/labels.parquet")
