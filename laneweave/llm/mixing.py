@@ -40,7 +40,7 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 #: Rows of a bucket, about, within which word offsets are summed.
 BUCKET_ROWS = 4096
-#: Slots that one row of the dealt-out slot table stands for.
+#: Slots, about, that one task takes at least.
 CHUNK_SLOTS = 8192
 #: Shards, about, that one task draws at least, and those within which slot numbers are summed.
 DRAW_SHARDS, STRETCH_SHARDS = 16, 1024
