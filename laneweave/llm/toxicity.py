@@ -9,10 +9,14 @@ a word is again a weighted sum over its subsequences, so it is read from one
 table of 2^18 weights.
 
 Training: sentences of labelled documents, about ``TRAIN_DOCS`` of each label.
-A toxic document's sentence is toxic for some word in it (multiple-instance
-learning): the witnesses start as the words that sentences of toxic documents
-hold far more often than those of others, and are chosen anew by the SVM.
-Copies count once (documents are grouped by their least word hash). A
+A sentence's value is its highest word's (a latent SVM). Sentences of documents
+that aren't toxic are examples of -1; of a toxic document one is an example of
++1, that of the highest value, as the label doesn't say which. The first machine
+starts from the words that toxic documents hold far more often than others;
+``RETRAININGS`` times, the machine in force picks each sentence's word and each
+toxic document's sentence, and a new one is fitted on these, each weighted by
+the documents that it stands for. Copies count once (documents are grouped by
+their least word hash). A
 document's score is a logistic curve of its three highest word values and its length:
 two insults in a short text weigh more than in a long one. A long text has the
 values of its worst stretch.
@@ -25,7 +29,7 @@ are read in overlapping windows; runs of single letters are joined to a word.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import free_name
+from .common import free_name, staged
 from .training import labelled_sample
 
 TRAIN_DOCS = 2500
@@ -44,8 +48,10 @@ DECAY = 0.7
 SPAN = 7
 #: Windows of long words, and the step between them.
 LONGEST, STRIDE = 20, 10
-#: Witness words at most, and other words for each of the two training rounds.
+#: Witness words at most, and other words, for each training round.
 WITNESSES, OTHERS = 400, 4000
+#: Times that sentences choose their words anew.
+RETRAININGS = 2
 #: Words whose values a worker keeps.
 CACHE_WORDS = 400_000
 #: Highest word values that a document's score looks at.
@@ -161,13 +167,17 @@ class _Cached(dict):
         super().__init__()
         self.scorer = scorer
 
-    def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The three highest word values of each text, and minus the logarithm of its words."""
+    def learn(self, split: list[list[str]]) -> None:
+        """Have the values of all words of some texts."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        split = [text_words(t) for t in texts]
         new = list({w for words in split for w in words if w not in self})
         self.update(zip(new, self.scorer.values(new).tolist(), strict=True))
+
+    def highest(self, texts: list[str | None]) -> np.ndarray:
+        """The three highest word values of each text, and minus the logarithm of its words."""
+        split = [text_words(t) for t in texts]
+        self.learn(split)
         low = self.scorer.offset
         out = np.full((len(texts), INPUTS), low)
         out[:, TOP] = [-np.log1p(min(len(words), STRETCH)) for words in split]
@@ -183,18 +193,51 @@ class _Cached(dict):
 # ---------------------------------------------------------------- training
 
 
-def _sentence_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, label, group) once for each document."""
+def _sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence that the kernel can take whole, each once, in order of the alphabet."""
+    split = ({_core(w) for w in text_words(sentence)} for sentence in (text or "").split("."))
+    return [words for words in (sorted(w for w in found if 3 <= len(w) <= LONGEST - 2) for found in split) if words]
+
+
+def _group(sentences: list[list[str]]) -> int:
+    """Equal for copies, and for most near ones."""
+    return min((zlib.crc32(w.encode()) for words in sentences for w in words if len(w) > 5), default=0)
+
+
+def _document_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, label, grp) once for each document."""
     for batch in batches:
         rows = []
         for text, label in zip(batch["text"], batch["_label"], strict=True):
-            words = {_core(w) for sentence in (text or "").split(".") for w in text_words(sentence)}
-            words = {w for w in words if 3 <= len(w) <= LONGEST - 2}
-            group = min((zlib.crc32(w.encode()) for w in words if len(w) > 5), default=0)
-            rows += [(w, int(label), group) for w in words]
+            sentences = _sentences(text)
+            group = _group(sentences)
+            rows += [(w, int(label), group) for w in {w for words in sentences for w in words}]
         yield pd.DataFrame(rows, columns=["word", "label", "grp"])
 
 
+def _picked(sentences: list[list[str]], label: int, value: Callable[[str], float]) -> set[str]:
+    """The words that sentences stand for: each one's highest; of a toxic document, that of its highest sentence."""
+    words = [max(s, key=lambda w: (value(w), w)) for s in sentences]
+    return {max(words, key=lambda w: (value(w), w))} if label and words else set(words)
+
+
+def _pick(sample: DataFrame, scorer: WordScorer) -> DataFrame:
+    """The words that the sample's sentences stand for: word, label, n (documents, copies once)."""
+
+    def picked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _Cached(scorer)
+        for batch in batches:
+            rows = []
+            for text, label in zip(batch["text"], batch["_label"], strict=True):
+                sentences = _sentences(text)
+                cache.learn(sentences)
+                group = _group(sentences)
+                rows += [(w, int(label), group) for w in _picked(sentences, int(label), cache.__getitem__)]
+            yield pd.DataFrame(rows, columns=["word", "label", "grp"])
+
+    return sample.mapInPandas(picked, "word string, label int, grp long").groupBy("word", "label").agg(F.count_distinct("grp").alias("n"))
+
+
 def _features(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kernel of words to landmarks; the landmarks' subsequence codes and their weights (codes x landmarks)."""
     held = [_occurrences(m) for m in landmarks]
@@ -233,21 +276,30 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _fit_words(witnesses: list[str], others: list[str]) -> WordScorer:
+def _machine(witnesses: list[str], others: list[str], weights: list[float] | None = None) -> tuple[list[str], np.ndarray, float]:
+    """Landmarks, their factors and the offset of the SVM; ``weights``: of witnesses, then others (each class has half of all weight)."""
     half = 2 * LANDMARKS // 3
-    landmarks = witnesses[:half] + others[: LANDMARKS - min(half, len(witnesses))]
-    own, codes, table = _features(landmarks, landmarks)
+    landmarks = list(dict.fromkeys(witnesses[:half] + others[: LANDMARKS - min(half, len(witnesses))]))
+    own, _, _ = _features(landmarks, landmarks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
-    words = witnesses + others
-    kernel, _, _ = _features(words, landmarks)
+    kernel, _, _ = _features(witnesses + others, landmarks)
     y = np.r_[np.ones(len(witnesses)), -np.ones(len(others))]
-    weight = np.r_[np.full(len(witnesses), 0.5 / len(witnesses)), np.full(len(others), 0.5 / len(others))]
+    weight = np.ones(len(y)) if weights is None else np.array(weights, float)
+    for side in (y > 0, y < 0):
+        weight[side] *= 0.5 / weight[side].sum()
     beta = _svm(kernel @ white, y, weight)
-    weights = np.zeros(1 << 18)
-    weights[codes] = table @ (white @ beta[:-1])
-    return WordScorer(weights, float(beta[-1]))
+    return landmarks, white @ beta[:-1], float(beta[-1])
+
+
+def _fit_words(witnesses: list[str], others: list[str], weights: list[float] | None = None) -> WordScorer:
+    """The SVM as a table of subsequence weights."""
+    landmarks, factors, offset = _machine(witnesses, others, weights)
+    _, codes, table = _features([], landmarks)
+    weights_of = np.zeros(1 << 18)
+    weights_of[codes] = table @ factors
+    return WordScorer(weights_of, offset)
 
 
 class Model:
@@ -264,15 +316,16 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled documents that ``usable`` (over the labels' id) allows."""
     sample = labelled_sample(docs.select(id_col, F.col(text_col).alias("text")), labels, label_col, usable, TRAIN_DOCS, id_col)
-    sample = sample.select("text", "_label")
+    sample = staged(sample.select("text", "_label"), "toxicity-sample")  # read once for each round
     totals = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(None, np.zeros(INPUTS + 1))
     counts = (
-        sample.mapInPandas(_sentence_words, "word string, label int, grp long")
+        sample.mapInPandas(_document_words, "word string, label int, grp long")
         .groupBy("word")
         .agg(F.count_distinct(F.when(F.col("label") == 1, F.col("grp"))).alias("toxic"), F.count_distinct(F.when(F.col("label") == 0, F.col("grp"))).alias("clean"))
     )
+    counts = staged(counts, "toxicity-words")
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
     least = max(4, totals[1] // 100)
     # a rare word says little: its odds are lowered by a standard error and a half
@@ -284,13 +337,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     if not witnesses or not others:
         return Model(None, np.array([*[0.0] * INPUTS, np.log(totals[1] / totals[0])]))
     scorer = _fit_words(witnesses, others)
-    # once more: witnesses that the first machine doesn't hold for ones go, and the others that it does come in
-    kept = [w for w, v in zip(witnesses, scorer.values(witnesses), strict=True) if v > 0]
-    frequent = [r["word"] for r in counts.filter(F.col("clean") >= F.greatest(F.lit(2), F.col("toxic"))).orderBy(F.col("clean").desc(), "word").limit(OTHERS).collect()]
-    value = scorer.values(frequent)
-    hard = [frequent[i] for i in np.argsort(-value)[: OTHERS // 4] if frequent[i] not in kept]
-    if kept:
-        scorer = _fit_words(kept, hard[:200] + others + hard[200:])
+    for _ in range(RETRAININGS):
+        picks = staged(_pick(sample, scorer), "toxicity-picks")
+        both = [picks.filter(F.col("label") == side).orderBy(F.col("n").desc(), "word").limit(most).collect() for side, most in ((1, WITNESSES), (0, OTHERS))]
+        toxic, clean = ({r["word"]: float(r["n"]) for r in rows} for rows in both)
+        clean |= {w: 1.0 for w in others if w not in clean}  # words that no sentence stands for
+        scorer = _fit_words(list(toxic), list(clean), [*toxic.values(), *clean.values()])
     judged = _highest(sample, scorer, "text", "_high").select("_label", "_high").toPandas()  # a few numbers for each sampled document
     x = np.array(judged["_high"].tolist(), float).reshape(-1, INPUTS)
     return Model(scorer, _logistic(x, judged["_label"].to_numpy(float)))

@@ -396,6 +396,29 @@ def test_marginals_against_all_labellings(text):
 # ---------------------------------------------------------------- words, rules, profiles
 
 
+def plain_kernel(a: str, b: str) -> float:
+    """Subsequences of three characters that both words hold within the window, by their definition."""
+    from itertools import combinations
+
+    from laneweave.llm import toxicity as tx
+
+    def held(word):
+        word = tx._BEGIN + word + tx._END
+        found, norm = {}, 0.0
+        for at in combinations(range(len(word)), 3):
+            spanned = at[2] - at[0] + 1
+            if spanned > tx.SPAN:
+                continue
+            norm += tx.DECAY ** (2 * spanned)
+            codes = tuple(tx._code(word[i]) for i in at)
+            if all(codes):
+                found[codes] = found.get(codes, 0.0) + tx.DECAY**spanned
+        return {k: v / norm**0.5 for k, v in found.items()}
+
+    x, y = held(a), held(b)
+    return sum(v * y.get(k, 0.0) for k, v in x.items())
+
+
 def test_table_of_weights_equals_the_kernel_machine():
     from laneweave.llm import toxicity as tx
 
@@ -405,11 +428,30 @@ def test_table_of_weights_equals_the_kernel_machine():
     assert (values[:3] > 0.5).all() and (values[3:] < -0.5).all()
     spoilt, far = scorer.values(["idi-ot", "umbrella"])
     assert spoilt > far  # a character put in stays nearer
+    weights = [3.0, 1, 1, 1, 2, 1, 1, 5]
+    landmarks, factors, offset = tx._machine(good, bad, weights)
+    words = [*good, *bad, "idiiot", "m0ron", "rivers", "a-b", "zz"]
+    plain = [offset + sum(f * plain_kernel(w, m) for f, m in zip(factors, landmarks, strict=True)) for w in words]
+    assert np.allclose(tx._fit_words(good, bad, weights).values(words), plain, atol=1e-3)
     assert scorer.values([""])[0] == np.float32(scorer.offset)
     assert scorer.values(["x" * 500 + "idiot"])[0] > scorer.values(["x" * 500])[0]
     assert tx.text_words("so i d i o t ok") == ["so", "i", "d", "i", "o", "t", "ok", "idiot"]
 
 
+def test_sentences_choose_their_words():
+    from laneweave.llm import toxicity as tx
+
+    value = {"idiot": 2.0, "river": 0.5, "table": 0.5, "house": -1.0}.__getitem__
+    sentences = tx._sentences("River house. You? idiot, table! . House")
+    assert sentences == [["house", "river"], ["idiot", "table", "you"], ["house"]]
+    sentences = [[w for w in words if w != "you"] for words in sentences]
+    assert tx._picked(sentences, 1, value) == {"idiot"}
+    assert tx._picked(sentences, 0, value) == {"river", "idiot", "house"}
+    assert tx._picked([["river", "table"]], 0, value) == {"table"}  # ties by the word
+    assert tx._picked([], 1, value) == tx._picked([], 0, value) == set()
+    assert tx._sentences(None) == tx._sentences(" . ") == tx._sentences("x" * 500) == []
+
+
 def test_rules_learn_and_compile(spark):
     from laneweave.llm import quality_rules as qr
 
