@@ -264,13 +264,13 @@ def _observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
-    """Weights from about ``train_docs`` documents (smallest id hashes) that hold a digit or an @."""
+    """Weights from about ``train_docs`` documents (smallest hashes of id and text) that hold a digit or an @."""
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    n = docs.count()
+    n = marked.count()  # so that the sample is as large where few documents are marked
     grain = 1 << 30
-    # of all documents about one in twenty is marked; a share of ids is taken before texts are looked at
-    share = grain if n <= 20 * train_docs else max(1, grain * 20 * train_docs // n)
-    sample = marked.filter(F.pmod(F.xxhash64("id"), F.lit(grain)) < share)
+    share = grain if n <= train_docs else max(1, grain * train_docs // n)
+    # with the text, as ids may be null or stand many times
+    sample = marked.filter(F.pmod(F.xxhash64("id", "text"), F.lit(grain)) < share)
     counts = sample.select("text").mapInPandas(_observed, "kind string, a int, b int, bits int").groupBy("kind", "a", "b", "bits").agg(F.count("*").alias("n"))
     labels = len(BASE) + 1
     chain, skip = np.full((labels, labels), 0.5), np.full((labels, labels), 0.5) + np.eye(labels) * 2

@@ -431,3 +431,15 @@ def test_pipeline(spark, awkward):
     assert abs(mixed.text.map(words).sum() / clean.text.map(words).sum() - 1) < 0.1
     assert len(seen["token files"]) == len(mixed)
     assert cp.run(spark, folder).count() == len(mixed)
+
+
+def test_unmarked_documents_make_no_difference_to_the_field(spark):
+    """Texts without a digit or an @ don't thin the sample; ids may be null or repeated."""
+    from laneweave.llm import pii
+
+    marked = [(i % 3 or None, f"write to a{i}@b{i}.org or call +49 170 123456{i} on day {i}") for i in range(8)]
+    plain = [(None, "no such thing")] * 300
+    few, many = (pii.train(spark.createDataFrame(rows, "doc_id long, text string"), train_docs=8) for rows in (marked, marked + plain))
+    for part in ("unary", "chain", "skip", "free"):
+        assert (getattr(few, part) == getattr(many, part)).all()
+    assert abs(few.unary).sum() > 0
