@@ -71,7 +71,13 @@ def matches(aln: DataFrame, regions: DataFrame, mode: str = "start", span: bool
         raise ConfigError(f"assignment must be one of {', '.join(MODES)}, not {mode!r}")
     reads = with_geometry(aln, span).select("ordinal", "chrom", "blocks", "geom_start", "geom_end")
     places = regions.select(F.col("ordinal").alias("region_ordinal"), "key", "chrom", "segments", "env_start", "env_end")
-    pairs = interval_join(reads, places, "chrom", ("geom_start", "geom_end"))
+    reads = reads.filter(F.col("geom_end") > F.col("geom_start"))
+    # but for the overlap modes one point of the read lies in every region that qualifies, so only its bins are looked at
+    half = F.floor((F.col("geom_end") - F.col("geom_start")) / 2).cast("long")
+    point = F.col("geom_start") + (half if mode == "midpoint" else F.lit(0))
+    whole = mode in ("best-overlap", "overlap")
+    reads = reads.withColumn("look_start", F.col("geom_start") if whole else point).withColumn("look_end", F.col("geom_end") if whole else point + 1)
+    pairs = interval_join(reads, places, "chrom", ("look_start", "look_end"))
     fit = pairs.filter(qualifies(mode, F.col("blocks"), F.col("geom_start"), F.col("geom_end"), F.col("segments")))
     return fit.select(
         "ordinal",
