@@ -45,6 +45,10 @@ def reference_span(cigar: Column) -> Column:
     )
 
 
+def reference_length(cigar: Column) -> Column:
+    return _sum(cigar, CONSUMES_REFERENCE)
+
+
 def read_length(cigar: Column) -> Column:
     return _sum(cigar, CONSUMES_READ)
 
@@ -58,8 +62,8 @@ def alignment_end(start: Column, cigar: Column) -> Column:
     return start + F.greatest(_sum(cigar, CONSUMES_REFERENCE), F.lit(1))
 
 
-def aligned_blocks(start: Column, cigar: Column, join_deletions: bool = False) -> Column:
-    """Runs of aligned bases as intervals. Skips end a run; deletions too, unless they are joined.
+def aligned_blocks(start: Column, cigar: Column, join_deletions: bool = False, otherwise: Column | None = None) -> Column:
+    """Runs of aligned bases as intervals, ``otherwise`` if there are none. Skips end a run; deletions too, unless they are joined.
 
     A joined deletion at the beginning of a run opens none, and one at its end
     is left out again where a skip or the end follows.
@@ -75,7 +79,7 @@ def aligned_blocks(start: Column, cigar: Column, join_deletions: bool = False) -
         closes = c["op"].isin(*((SKIP,) if join_deletions else (SKIP, DELETION))) & (c["len"] > 0)
         return F.struct(after.alias("at"), F.when(closes, F.lit(False)).otherwise(s["open"] | aligned).alias("open"), runs.alias("runs"))
 
-    return F.aggregate(cigar, state, step, lambda s: s["runs"])
+    return F.aggregate(cigar, state, step, lambda s: s["runs"] if otherwise is None else F.when(F.size(s["runs"]) > 0, s["runs"]).otherwise(otherwise))
 
 
 def geometry(start: Column, cigar: Column, span: bool = False) -> Column:
@@ -83,8 +87,8 @@ def geometry(start: Column, cigar: Column, span: bool = False) -> Column:
     whole = F.array(reference_interval(start, cigar))
     if span:
         return whole
-    runs = aligned_blocks(start, cigar)
-    return F.when(F.size(runs) > 0, runs).otherwise(whole)
+    one = ~F.exists(cigar, lambda c: c["op"].isin(DELETION, SKIP))  # nothing parts the run
+    return F.when(one, whole).otherwise(aligned_blocks(start, cigar, otherwise=whole))
 
 
 def text(cigar: Column) -> Column:

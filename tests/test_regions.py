@@ -79,6 +79,66 @@ def test_interval_join_equals_all_pairs(spark):
     assert got == sorted((i, j) for i, c, s, e in a for j, d, t, f in b if c == d and e > s and f > t and s < f and t < e)
 
 
+def crowd(rng, n):
+    """Reads and regions, many of them at the same places, a few of them very long."""
+    cigars = ["10M", "40M", "10M20N30M", "5M100N5M3000N20M", "8M2D9M", "3I", "2S4D", "4D6M", "10M400000N10M", "6M5000000N6M"]
+    aln = [(i, rng.choice("xy"), 0 if i % 9 else -1, rng.randrange(2000) if i % 7 else rng.randrange(500_000), ops(rng.choice(cigars))) for i in range(n)]
+    regs = []
+    for i in range(n):
+        at, segments = rng.randrange(2000) if i % 5 else rng.randrange(500_000), []
+        for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 7])):
+            end = at + rng.choice([1, 10, 60, 60, 3000, 700_000])
+            segments.append((at, end))
+            at = end + rng.choice([1, 15, 120])
+        regs.append((3 * i, f"k{i}", rng.choice("xyz"), segments, segments[0][0] if segments else at, segments[-1][1] if segments else at))
+    return aln, regs
+
+
+@pytest.mark.parametrize("mode,span", [(m, s) for m in regions.MODES for s in (False, True)])
+def test_placed_without_pairs_equals_pairs(spark, mode, span):
+    aln, regs = crowd(random.Random(11), 300)
+    aln, where = spark.createDataFrame(aln, ALN), spark.createDataFrame(regs, REG)
+    pairs = regions.matches(aln, where, mode, span).cache()
+    got = {r["ordinal"]: r for r in regions.placed(aln, where, mode, span, keep=("pos",)).collect()}
+    many = {r["ordinal"]: r["count"] for r in pairs.groupBy("ordinal").count().collect()}
+    assert len(many) > 30
+    assert {o: r["candidates"] for o, r in got.items() if r["candidates"]} == many
+    assert {o: r["pos"] for o, r in got.items()} == {r["ordinal"]: r["pos"] for r in aln.filter("ref_id >= 0").collect()}
+    if mode != "overlap":
+        best = regions.assigned(pairs, mode)
+        assert sorted(map(tuple, regions.chosen(aln, where, mode, span).collect())) == sorted(map(tuple, best.collect()))
+    assert sorted(r[0] for r in regions.not_matched(aln, where, mode, span).collect()) == sorted(r[0] for r in regions.unmatched(aln, pairs).select("ordinal").collect())
+    counts = regions.routing_counts(aln, pairs, mode).first()
+    assert regions.match_counts(aln, where, mode, span).first() == counts
+    if mode == "overlap":
+        counters = stats.run_counters(regions.route_region(aln, where, mode, span)).first().asDict()
+        assert regions.fan_out_counters(aln, where, span).first().asDict() == counters
+
+
+@pytest.mark.parametrize("mode", regions.MODES)
+def test_placing_in_small_pieces(monkeypatch, mode):
+    """Batches, blocks of reads and matrices may end anywhere."""
+    import pyarrow as pa
+    from laneweave.operators import placing
+
+    rng, rows = random.Random(3), []
+    for chrom, bin_ in (("x", 0), ("x", 1), ("y", 1), ("z", 0)):
+        at = lambda: (s := rng.randrange(bin_ << 11, bin_ + 1 << 11), s + rng.choice([1, 30, 30]))  # noqa: B023, E731
+        rows += [(chrom, 11, bin_, 0, i, f"k{i}", [at()]) for i in range(90) if chrom != "z"]
+        rows += [(chrom, 11, bin_, 1, i, None, [at()]) for i in range(150)]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    spans = [[{"start": a, "end": b} for a, b in r[6]] for r in rows]
+    columns = {n: [r[i] for r in rows] for i, n in enumerate(("chrom", "width", "bin", "side", "ordinal", "key"))}
+    table = pa.table({**columns, "spans": pa.array(spans, kind)}, schema=pa.schema([("chrom", pa.string()), ("width", pa.int32()), ("bin", pa.int64()), ("side", pa.int32()), ("ordinal", pa.int64()), ("key", pa.string()), ("spans", kind)]))
+    run = lambda size: pa.Table.from_batches(placing.placer(mode, [])(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+    whole = run(10_000)
+    assert len(whole) == 600 and any(r["candidates"] > 1 for r in whole)
+    monkeypatch.setattr(placing, "READS", 40)
+    monkeypatch.setattr(placing, "SHAPES", 3)
+    monkeypatch.setattr(placing, "COLUMNS", 2)
+    assert run(17) == whole
+
+
 def test_overlapping_pairs_with_a_wide_region(spark):
     """A wide region beside narrow ones is not cut into the bins of these."""
     rng = random.Random(5)
@@ -88,6 +148,18 @@ def test_overlapping_pairs_with_a_wide_region(spark):
     assert got == [(i, j) for i, (a, b) in enumerate(spans) for j, (c, d) in enumerate(spans) if i < j and a < d and c < b and a < b and c < d]
 
 
+#: Queries whose answer has a row for each read, or less.
+UNPAIRED = ["conservation_fanout"]
+
+
+@pytest.mark.parametrize("name", UNPAIRED)
+def test_no_pairs_are_made(spark, name):
+    from laneweave import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_bin" not in plan
+
+
 RECORDS = "ordinal long, chrom string, start long, end long, name string, strand string, thick_start long, thick_end long, blocks array<struct<start: bigint, end: bigint>>, extras map<string,string>"
 ENST = [(1000, 1200), (2500, 2800), (4600, 5000)]
 
