@@ -1,10 +1,11 @@
-"""The regions of each read without a row for each pair: a reduction over sorted bins, in numpy.
+"""The regions of each read, from sorted bins, in numpy: a reduction without a row for each pair, or the pairs themselves.
 
 Rows of both sides come sorted by (chrom, width, bin), regions of a bin before
 its reads. Equal shapes of reads are looked at once; a shape's shared bases with
 the regions are counted in small matrices, of which only the number of
 qualifying regions and the best one are kept. So the time, but neither memory
 nor what is shuffled or written, grows with the pairs of shapes and regions.
+Pairs, where they are wanted, leave as soon as a piece of a matrix has them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 
 #: Reads that are looked at together, and shapes and regions of one matrix.
 READS, SHAPES, COLUMNS = 1 << 17, 64, 1 << 13
+#: Reads times regions that are made pairs at once (one region at least), and pairs of one batch.
+CELLS, ROWS = 1 << 20, 1 << 15
 
 
 def _flat(spans: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,35 +67,37 @@ class Regions:
                 out[:, has] += part
         return out
 
-    def find(self, starts: np.ndarray, ends: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each shape the place of its best region (-1: none) and how many qualify. Shapes are sorted by their first start."""
-        best, many = np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+    def pieces(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Which shapes, their lengths, the places of regions that can meet them, and the common positions. Shapes are sorted by their first start."""
         starts, ends = ((x - self.base).astype(self.kind) for x in (starts, ends))
         for i in range(0, len(starts), SHAPES):
             s, e = starts[i : i + SHAPES], ends[i : i + SHAPES]
             near = np.nonzero((self.low < e.max()) & (self.high > s.min()))[0]
-            top = np.zeros(len(s), self.kind)
             whole = (e - s).sum(axis=1, dtype=self.kind)[:, None]
             for c in range(0, len(near), COLUMNS):
                 which = near[c : c + COLUMNS]
-                shared = self.shared(s, e, which)
-                fit = shared == whole if mode == "contained" else shared > 0
-                many[i : i + SHAPES] += np.count_nonzero(fit, axis=1)
-                if mode == "overlap":
-                    continue
-                value = shared if mode == "best-overlap" else fit.view(np.int8)
-                at = value.argmax(axis=1)  # the first of the greatest
-                got = value[np.arange(len(s)), at]
-                better = got > top
-                best[i : i + SHAPES][better] = which[at[better]]
-                top[better] = got[better]
+                yield slice(i, i + len(s)), whole, which, self.shared(s, e, which)
+
+    def find(self, starts: np.ndarray, ends: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
+        """For each shape the place of its best region (-1: none) and how many qualify."""
+        best, many = np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+        top = np.zeros(len(starts), self.kind)
+        for at, whole, which, shared in self.pieces(starts, ends):
+            fit = shared == whole if mode == "contained" else shared > 0
+            many[at] += np.count_nonzero(fit, axis=1)
+            if mode == "overlap":
+                continue
+            value = shared if mode == "best-overlap" else fit.view(np.int8)
+            first = value.argmax(axis=1)  # the first of the greatest
+            got = value[np.arange(len(value)), first]
+            better = got > top[at]
+            best[at][better] = which[first[better]]
+            top[at][better] = got[better]
         return best, many
 
 
-def _place(reads: pa.Table, regions: Regions | None, mode: str) -> tuple[np.ndarray, np.ndarray]:
-    best, many = np.full(len(reads), -1), np.zeros(len(reads), np.int64)
-    if regions is None:
-        return best, many
+def _shapes(reads: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By the number of intervals: rows, sorted by shape; the place of each row's shape; starts and ends of the shapes."""
     offsets, starts, ends = _flat(reads["spans"])
     counts = np.diff(offsets)
     for k in np.unique(counts[counts > 0]):
@@ -102,55 +107,95 @@ def _place(reads: pa.Table, regions: Regions | None, mode: str) -> tuple[np.ndar
         order = np.lexsort(shapes.T[::-1])
         rows, shapes = rows[order], shapes[order]
         new = np.concatenate([[True], (shapes[1:] != shapes[:-1]).any(axis=1)])
-        b, n = regions.find(shapes[new][:, :k], shapes[new][:, k:], mode)
-        shape = np.cumsum(new) - 1
+        yield rows, np.cumsum(new) - 1, shapes[new][:, :k], shapes[new][:, k:]
+
+
+def _place(reads: pa.Table, regions: Regions | None, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    best, many = np.full(len(reads), -1), np.zeros(len(reads), np.int64)
+    if regions is None:
+        return best, many
+    for rows, shape, starts, ends in _shapes(reads):
+        b, n = regions.find(starts, ends, mode)
         best[rows], many[rows] = b[shape], n[shape]
     return best, many
 
 
+def _pairs(reads: pa.Table, regions: Regions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs that share positions, in pieces: rows of reads, places of regions. Pairs of a region stand together."""
+    for rows, shape, starts, ends in _shapes(reads):
+        for at, _, which, shared in regions.pieces(starts, ends):
+            a, b = np.searchsorted(shape, (at.start, at.stop))
+            mine, of, fit = rows[a:b], shape[a:b] - at.start, np.ascontiguousarray(shared.T > 0)
+            step = max(1, CELLS // len(mine))
+            for c in range(0, len(which), step):
+                hit = fit[c : c + step].take(of, axis=1)
+                many = np.count_nonzero(hit, axis=1)
+                begin = np.arange(len(many)) * len(mine)
+                yield mine[np.flatnonzero(hit) - np.repeat(begin, many)], np.repeat(which[c : c + step], many)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Regions | None]]:
+    """Reads of a bin, so many at once, with its regions (None: it has none), of rows chrom, width, bin, side (0: region), ordinal, key, spans and more."""
+    now, pending, regions = None, [], None
+    reads: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        names = table["chrom"].combine_chunks().dictionary_encode()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        parts = [names.indices.to_numpy(zero_copy_only=False), *(table[c].to_numpy() for c in ("width", "bin", "side"))]
+        cuts = np.nonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0))[0] + 1
+        for a, b in zip([0, *cuts], [*cuts, len(table)], strict=True):
+            key = (names.dictionary[int(parts[0][a])].as_py(), int(parts[1][a]), int(parts[2][a]))
+            if key != now:
+                if reads:
+                    yield pa.concat_tables(reads), regions
+                now, pending, regions, reads = key, [], None, []
+            piece = table.slice(a, b - a)
+            if parts[3][a] == 0:
+                pending.append(piece)
+                continue
+            if pending:
+                regions, pending = Regions(pa.concat_tables(pending), now[1], now[2]), []
+            reads.append(piece)
+            if sum(map(len, reads)) >= READS:
+                yield pa.concat_tables(reads), regions
+                reads = []
+    if reads:
+        yield pa.concat_tables(reads), regions
+
+
 def placer(mode: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over chrom, width, bin, side (0: region), ordinal, key, spans and ``keep``: ordinal, keep, region_ordinal, key, candidates."""
-
-    def done(reads: list[pa.Table], regions: Regions | None) -> Iterator[pa.RecordBatch]:
-        table = pa.concat_tables(reads)
-        best, many = _place(table, regions, mode)
-        none = best < 0
-        if regions is None or not len(regions.ordinals):
-            places, keys = pa.nulls(len(table), pa.int64()), pa.nulls(len(table), pa.string())
-        else:
-            at = pa.array(best, mask=none)
-            places, keys = pa.array(regions.ordinals).take(at), regions.keys.take(at)
-        out = table.select(["ordinal", *keep]).append_column("region_ordinal", places).append_column("key", keys.cast(pa.string())).append_column("candidates", pa.array(many))
-        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+    """For mapInArrow over the rows of :func:`_runs` with ``keep``: ordinal, keep, region_ordinal, key, candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, regions in _runs(batches):
+            best, many = _place(table, regions, mode)
+            none = best < 0
+            if regions is None or not len(regions.ordinals):
+                places, keys = pa.nulls(len(table), pa.int64()), pa.nulls(len(table), pa.string())
+            else:
+                at = pa.array(best, mask=none)
+                places, keys = pa.array(regions.ordinals).take(at), regions.keys.take(at)
+            out = table.select(["ordinal", *keep]).append_column("region_ordinal", places).append_column("key", keys.cast(pa.string())).append_column("candidates", pa.array(many))
+            yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def pairer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over the rows of :func:`_runs`: ordinal, key, region_ordinal of each pair that shares positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pending, regions = None, [], None
-        reads: list[pa.Table] = []
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not len(table):
+        for table, regions in _runs(batches):
+            if regions is None:
                 continue
-            names = table["chrom"].combine_chunks().dictionary_encode()
-            names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
-            parts = [names.indices.to_numpy(zero_copy_only=False), *(table[c].to_numpy() for c in ("width", "bin", "side"))]
-            cuts = np.nonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0))[0] + 1
-            for a, b in zip([0, *cuts], [*cuts, len(table)], strict=True):
-                key = (names.dictionary[int(parts[0][a])].as_py(), int(parts[1][a]), int(parts[2][a]))
-                if key != now:
-                    if reads:
-                        yield from done(reads, regions)
-                    now, pending, regions, reads = key, [], None, []
-                piece = table.slice(a, b - a)
-                if parts[3][a] == 0:
-                    pending.append(piece)
-                    continue
-                if pending:
-                    regions, pending = Regions(pa.concat_tables(pending), now[1], now[2]), []
-                reads.append(piece)
-                if sum(map(len, reads)) >= READS:
-                    yield from done(reads, regions)
-                    reads = []
-        if reads:
-            yield from done(reads, regions)
+            ordinals = table["ordinal"].combine_chunks()
+            ordinals = pa.concat_arrays(ordinals.chunks) if isinstance(ordinals, pa.ChunkedArray) else ordinals
+            for read, place in _pairs(table, regions):
+                for i in range(0, len(read), ROWS):
+                    r, p = read[i : i + ROWS], place[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([ordinals.take(pa.array(r)), regions.keys.take(pa.array(p)).cast(pa.string()), pa.array(regions.ordinals[p])], ["ordinal", "key", "region_ordinal"])
 
     return run

@@ -139,6 +139,28 @@ def test_placing_in_small_pieces(monkeypatch, mode):
     assert run(17) == whole
 
 
+def test_pairs_in_small_pieces(monkeypatch):
+    """Equal reads among others; no more pairs are made at once than a piece's reads times one region."""
+    import numpy as np
+    import pyarrow as pa
+    from laneweave.operators import placing
+
+    rng = random.Random(4)
+    where = [[(s := rng.randrange(900), s + 40), (s + 60, s + 300)] for _ in range(50)]
+    aln = [[(s := rng.choice([5, 5, rng.randrange(900)]), s + 30), (s + 45, s + 50)][: rng.choice([1, 2])] for _ in range(120)]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    table = lambda spans: pa.table({"ordinal": range(len(spans)), "key": [f"k{i}" for i in range(len(spans))], "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)})
+    expected = [(i, j) for i, r in enumerate(aln) for j, g in enumerate(where) if any(a < d and c < b for a, b in r for c, d in g)]
+    monkeypatch.setattr(placing, "CELLS", 90)
+    monkeypatch.setattr(placing, "SHAPES", 7)
+    monkeypatch.setattr(placing, "COLUMNS", 11)
+    regs = placing.Regions(table(where), 11, 0)
+    pieces = list(placing._pairs(table(aln), regs))
+    assert max(len(r) for r, _ in pieces) <= 120
+    assert sorted((int(r), int(o)) for read, place in pieces for r, o in zip(read, regs.ordinals[place], strict=True)) == expected
+    assert len(expected) > 500 and np.unique([r for r, _ in expected]).size > 60
+
+
 def test_overlapping_pairs_with_a_wide_region(spark):
     """A wide region beside narrow ones is not cut into the bins of these."""
     rng = random.Random(5)
@@ -160,6 +182,29 @@ def test_no_pairs_are_made(spark, name):
     assert "MapInArrow" in plan and "_bin" not in plan
 
 
+@pytest.mark.parametrize("span", [False, True])
+def test_fan_out_equals_joined_pairs(spark, span):
+    aln, regs = crowd(random.Random(12), 300)
+    aln, where = spark.createDataFrame(aln, ALN), spark.createDataFrame(regs, REG)
+    expected = sorted(map(tuple, regions.assigned(regions.matches(aln, where, "overlap", span), "overlap").collect()))
+    assert len(expected) > 300
+    assert sorted(map(tuple, regions.fan_out(aln, where, span).collect())) == expected
+
+
+def test_fan_out_without_reads_or_regions(spark):
+    aln, where = reads(spark, (5, "10M")), places(spark, ("a", (0, 9)))
+    assert regions.fan_out(aln.limit(0), where).count() == regions.fan_out(aln, where.limit(0)).count() == 0
+    assert [tuple(r) for r in regions.fan_out(aln, where).collect()] == [(0, "a", 0)]
+
+
+def test_fan_out_joins_nothing(spark):
+    """Its pairs come from sorted bins: a join by bin takes every candidate through rows of arrays."""
+    from laneweave import catalog
+
+    plan = catalog.queries()["region_overlap_fanout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 RECORDS = "ordinal long, chrom string, start long, end long, name string, strand string, thick_start long, thick_end long, blocks array<struct<start: bigint, end: bigint>>, extras map<string,string>"
 ENST = [(1000, 1200), (2500, 2800), (4600, 5000)]
 
