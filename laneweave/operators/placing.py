@@ -5,7 +5,9 @@ its reads. Equal shapes of reads are looked at once; a shape's shared bases with
 the regions are counted in small matrices, of which only the number of
 qualifying regions and the best one are kept. So the time, but neither memory
 nor what is shuffled or written, grows with the pairs of shapes and regions.
-Pairs, where they are wanted, leave as soon as a piece of a matrix has them.
+Pairs, where they are wanted, leave as units: some reads, some regions and a bit
+for each shape and region. Units are dealt out anew before they become rows, so
+a bin with most pairs is not one task's to write.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow as pa
 
 #: Reads that are looked at together, and shapes and regions of one matrix.
 READS, SHAPES, COLUMNS = 1 << 17, 64, 1 << 13
-#: Reads times regions that are made pairs at once (one region at least), and pairs of one batch.
-CELLS, ROWS = 1 << 20, 1 << 15
+#: Reads of a unit, reads times regions of it, units of a bin that stay together, and pairs of one batch.
+UNIT_READS, CELLS, UNITS, ROWS = 1 << 10, 1 << 19, 64, 1 << 15
 
 
 def _flat(spans: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,22 +122,30 @@ def _place(reads: pa.Table, regions: Regions | None, mode: str) -> tuple[np.ndar
     return best, many
 
 
-def _pairs(reads: pa.Table, regions: Regions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs that share positions, in pieces: rows of reads, places of regions. Pairs of a region stand together."""
+def _units(reads: pa.Table, regions: Regions) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs that share positions, in units: rows of reads, how many of them each shape has, places of regions, and whether (region, shape) is a pair."""
     for rows, shape, starts, ends in _shapes(reads):
         for at, _, which, shared in regions.pieces(starts, ends):
             a, b = np.searchsorted(shape, (at.start, at.stop))
-            mine, of, fit = rows[a:b], shape[a:b] - at.start, np.ascontiguousarray(shared.T > 0)
-            step = max(1, CELLS // len(mine))
-            for c in range(0, len(which), step):
-                hit = fit[c : c + step].take(of, axis=1)
-                many = np.count_nonzero(hit, axis=1)
-                begin = np.arange(len(many)) * len(mine)
-                yield mine[np.flatnonzero(hit) - np.repeat(begin, many)], np.repeat(which[c : c + step], many)
+            fit = shared > 0
+            for i in range(a, b, UNIT_READS):
+                mine, of = rows[i : min(b, i + UNIT_READS)], shape[i : min(b, i + UNIT_READS)]
+                some = fit[of[0] - at.start : of[-1] + 1 - at.start]
+                near = np.nonzero(some.any(axis=0))[0]
+                step = max(1, CELLS // len(mine))
+                for c in range(0, len(near), step):
+                    yield mine, np.bincount(of - of[0]), which[near[c : c + step]], some[:, near[c : c + step]].T
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Regions | None]]:
-    """Reads of a bin, so many at once, with its regions (None: it has none), of rows chrom, width, bin, side (0: region), ordinal, key, spans and more."""
+def _expanded(many: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a unit of the reads and regions of its pairs. Pairs of a region stand together."""
+    hit = fit.take(np.repeat(np.arange(len(many)), many), axis=1)
+    found = np.count_nonzero(hit, axis=1)
+    return np.flatnonzero(hit) - np.repeat(np.arange(len(hit)) * hit.shape[1], found), np.repeat(np.arange(len(hit)), found)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], pa.Table, Regions | None]]:
+    """The bin, reads of it, so many at once, with its regions (None: it has none), of rows chrom, width, bin, side (0: region), ordinal, key, spans and more."""
     now, pending, regions = None, [], None
     reads: list[pa.Table] = []
     for batch in batches:
@@ -150,7 +160,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Regions
             key = (names.dictionary[int(parts[0][a])].as_py(), int(parts[1][a]), int(parts[2][a]))
             if key != now:
                 if reads:
-                    yield pa.concat_tables(reads), regions
+                    yield now, pa.concat_tables(reads), regions
                 now, pending, regions, reads = key, [], None, []
             piece = table.slice(a, b - a)
             if parts[3][a] == 0:
@@ -160,17 +170,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Regions
                 regions, pending = Regions(pa.concat_tables(pending), now[1], now[2]), []
             reads.append(piece)
             if sum(map(len, reads)) >= READS:
-                yield pa.concat_tables(reads), regions
+                yield now, pa.concat_tables(reads), regions
                 reads = []
     if reads:
-        yield pa.concat_tables(reads), regions
+        yield now, pa.concat_tables(reads), regions
 
 
 def placer(mode: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over the rows of :func:`_runs` with ``keep``: ordinal, keep, region_ordinal, key, candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, regions in _runs(batches):
+        for _, table, regions in _runs(batches):
             best, many = _place(table, regions, mode)
             none = best < 0
             if regions is None or not len(regions.ordinals):
@@ -184,18 +194,46 @@ def placer(mode: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def pairer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over the rows of :func:`_runs`: ordinal, key, region_ordinal of each pair that shares positions."""
+def _plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def unit_maker() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over the rows of :func:`_runs`: chrom, width, bin, part (as units are numbered in their bin), ordinals, many, keys, places, fit.
+
+    Reads must come in one order, whatever the run: a unit is not to hold others when its task is repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, regions in _runs(batches):
+        now, n = None, 0
+        for bin_, table, regions in _runs(batches):
             if regions is None:
                 continue
-            ordinals = table["ordinal"].combine_chunks()
-            ordinals = pa.concat_arrays(ordinals.chunks) if isinstance(ordinals, pa.ChunkedArray) else ordinals
-            for read, place in _pairs(table, regions):
-                for i in range(0, len(read), ROWS):
-                    r, p = read[i : i + ROWS], place[i : i + ROWS]
-                    yield pa.RecordBatch.from_arrays([ordinals.take(pa.array(r)), regions.keys.take(pa.array(p)).cast(pa.string()), pa.array(regions.ordinals[p])], ["ordinal", "key", "region_ordinal"])
+            if bin_ != now:
+                now, n = bin_, 0
+            ordinals = _plain(table["ordinal"])
+            for read, many, place, fit in _units(table, regions):
+                lists = (ordinals.take(pa.array(read)), pa.array(many, pa.int32()), regions.keys.take(pa.array(place)).cast(pa.string()), pa.array(regions.ordinals[place], pa.int64()))
+                values = [*(pa.array([x], t) for x, t in zip((*bin_, n // UNITS), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)]
+                yield pa.RecordBatch.from_arrays([*values, pa.array([np.packbits(fit).tobytes()])], ["chrom", "width", "bin", "part", "ordinals", "many", "keys", "places", "fit"])
+                n += 1
+
+    return run
+
+
+def expander() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over units: ordinal, key, region_ordinal of each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ordinals, many, keys, places = (batch.column(c)[i].values for c in ("ordinals", "many", "keys", "places"))
+                bits = np.frombuffer(batch.column("fit")[i].as_py(), np.uint8)
+                fit = np.unpackbits(bits, count=len(places) * len(many)).view(np.bool_).reshape(len(places), len(many))
+                read, place = _expanded(many.to_numpy(), fit)
+                for c in range(0, len(read), ROWS):
+                    r, p = pa.array(read[c : c + ROWS]), pa.array(place[c : c + ROWS])
+                    yield pa.RecordBatch.from_arrays([ordinals.take(r), keys.take(p), places.take(p)], ["ordinal", "key", "region_ordinal"])
 
     return run

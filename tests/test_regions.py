@@ -139,8 +139,8 @@ def test_placing_in_small_pieces(monkeypatch, mode):
     assert run(17) == whole
 
 
-def test_pairs_in_small_pieces(monkeypatch):
-    """Equal reads among others; no more pairs are made at once than a piece's reads times one region."""
+def test_units_of_pairs_are_small(monkeypatch):
+    """Many equal reads among others: a bin's pairs come in units of few reads and regions."""
     import numpy as np
     import pyarrow as pa
     from laneweave.operators import placing
@@ -149,16 +149,19 @@ def test_pairs_in_small_pieces(monkeypatch):
     where = [[(s := rng.randrange(900), s + 40), (s + 60, s + 300)] for _ in range(50)]
     aln = [[(s := rng.choice([5, 5, rng.randrange(900)]), s + 30), (s + 45, s + 50)][: rng.choice([1, 2])] for _ in range(120)]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    table = lambda spans: pa.table({"ordinal": range(len(spans)), "key": [f"k{i}" for i in range(len(spans))], "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)})
-    expected = [(i, j) for i, r in enumerate(aln) for j, g in enumerate(where) if any(a < d and c < b for a, b in r for c, d in g)]
-    monkeypatch.setattr(placing, "CELLS", 90)
-    monkeypatch.setattr(placing, "SHAPES", 7)
-    monkeypatch.setattr(placing, "COLUMNS", 11)
-    regs = placing.Regions(table(where), 11, 0)
-    pieces = list(placing._pairs(table(aln), regs))
-    assert max(len(r) for r, _ in pieces) <= 120
-    assert sorted((int(r), int(o)) for read, place in pieces for r, o in zip(read, regs.ordinals[place], strict=True)) == expected
-    assert len(expected) > 500 and np.unique([r for r, _ in expected]).size > 60
+    spans = lambda x: pa.array([[{"start": a, "end": b} for a, b in y] for y in x], kind)
+    side = lambda n, x: pa.table({"chrom": ["x"] * len(x), "width": [11] * len(x), "bin": [0] * len(x), "side": [n] * len(x), "ordinal": range(len(x)), "key": [f"k{i}" if n == 0 else None for i in range(len(x))], "spans": spans(x)}, schema=pa.schema([("chrom", pa.string()), ("width", pa.int32()), ("bin", pa.int64()), ("side", pa.int32()), ("ordinal", pa.int64()), ("key", pa.string()), ("spans", kind)]))
+    table = pa.concat_tables([side(0, where), side(1, aln)])
+    expected = [(i, f"k{j}", j) for i, r in enumerate(aln) for j, g in enumerate(where) if any(a < d and c < b for a, b in r for c, d in g)]
+    assert len(expected) > 500 and np.unique([r[0] for r in expected]).size > 60
+    for name, n in {"READS": 40, "SHAPES": 7, "COLUMNS": 11, "UNIT_READS": 9, "CELLS": 30, "UNITS": 5, "ROWS": 4}.items():
+        monkeypatch.setattr(placing, name, n)
+    units = pa.Table.from_batches(placing.unit_maker()(iter(table.to_batches(max_chunksize=17))))
+    sizes = [(len(u["ordinals"]), len(u["places"])) for u in units.to_pylist()]
+    assert max(a for a, _ in sizes) == 9 and max(a * b for a, b in sizes) <= 30
+    assert max(units["part"].to_pylist()) > 5
+    got = pa.Table.from_batches(placing.expander()(iter(units.to_batches(max_chunksize=13))))
+    assert sorted(tuple(r.values()) for r in got.to_pylist()) == sorted(expected)
 
 
 def test_overlapping_pairs_with_a_wide_region(spark):
@@ -202,7 +205,18 @@ def test_fan_out_joins_nothing(spark):
     from laneweave import catalog
 
     plan = catalog.queries()["region_overlap_fanout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "Join" not in plan
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_fan_out_of_one_bin_is_written_by_many_tasks(spark):
+    """All reads, of many shapes, and all regions in one bin: their pairs are dealt out."""
+    from pyspark.sql import functions as F
+
+    aln = spark.range(20_000).selectExpr("id as ordinal", "'c' as chrom", "0 as ref_id", "id % 1000 as pos", "array(named_struct('len', 60L + id div 1000, 'op', 0)) as cigar")
+    where = spark.range(120).selectExpr("id as ordinal", "concat('k', id) as key", "'c' as chrom", "array(named_struct('start', 10L, 'end', 1900 + id)) as segments", "10L as env_start", "1900 + id as env_end")
+    with_task = regions.fan_out(aln, where).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in with_task) == 20_000 * 120
+    assert len(with_task) > 1
 
 
 RECORDS = "ordinal long, chrom string, start long, end long, name string, strand string, thick_start long, thick_end long, blocks array<struct<start: bigint, end: bigint>>, extras map<string,string>"
