@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes in one Arrow batch; texts are long, so batches are kept short.
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
+#: Bytes of a table for which those made from it get a file each, and the least number of files they may have.
+FILE_OF_BYTES, LEAST_FILES = 4 << 20, 8
 
 _local_dirs: dict[str, str] = {}
 
@@ -57,18 +59,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no earlier stage, and what
-    follows reads the rows as often as it likes.
+    follows reads the rows as often as it likes. ``files`` bounds the number of
+    files (and so the tasks of the last stage), for tables of few rows in many
+    partitions: on local paths Hadoop starts processes for each file it writes.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_beside(table: DataFrame) -> int:
+    """Files for staged tables that are made from ``table``, by its bytes as Spark estimates them (of a staged one: those of its files)."""
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(LEAST_FILES, int(str(size)) // FILE_OF_BYTES)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo ``modulus`` (null where the id is null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

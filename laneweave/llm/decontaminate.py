@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -256,15 +257,20 @@ def clean(docs: DataFrame, blocks: list[Automaton], text_col: str = "text", max_
     Documents whose share of hit words is above ``max_coverage`` go; from the
     others, hit spans of at least ``max_span`` words are cut out; shorter ones,
     which are whole items of fewer words, stay, as common phrases may be items.
-    Untouched texts, nulls among them, stay as they are.
+    Untouched texts, nulls among them, stay as they are. Texts are matched and
+    cut in one function, as a task has a Python worker for each one in a row.
     """
-    marked = mark(docs, blocks, text_col, "hits")
-    hits = [c for c in marked.columns if c not in docs.columns][0]
-
-    @arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_cut(t, s, max_span) if s and t else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
-
-    kept = marked.filter(F.col(f"{hits}.n_hit") <= F.col(f"{hits}.n_words") * max_coverage)
-    text = F.when(F.col(f"{hits}.n_hit") > 0, cut(F.col(text_col), F.col(f"{hits}.spans"))).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, text).select(*docs.columns)
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]  # each bounded by BLOCK_WORDS
+    out = free_name(docs, "cleaned")
+
+    @arrow_udf("struct<stays: boolean, text: string>")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        stays, cut = [], []  # null where nothing is cut
+        for text in texts.to_pylist():
+            hits = reduce(_joined, (_of(block.value, text) for block in shared))
+            stays.append(hits["n_hit"] <= hits["n_words"] * max_coverage)
+            cut.append(_cut(text, hits["spans"], max_span) if stays[-1] and hits["spans"] else None)
+        return pa.StructArray.from_arrays([pa.array(stays, pa.bool_()), pa.array(cut, pa.string())], ["stays", "text"])
+
+    told = docs.withColumn(out, cleaned.asNondeterministic()(F.col(text_col)))  # evaluated once, whatever reads it
+    return told.filter(F.col(f"{out}.stays")).withColumn(text_col, F.coalesce(f"{out}.text", text_col)).select(*docs.columns)

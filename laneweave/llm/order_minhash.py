@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, staged
+from .common import files_beside, free_name, staged
 from .decontaminate import words_of
 
 K = 2
@@ -398,39 +398,39 @@ def _compared(similarity: float):
     return compared
 
 
-def leftover_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def leftover_links(rows: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, files: int | None = None) -> DataFrame:
     """Links (a, b) between labels that rows (key, hub, node, n_words, label) of one bucket give: enough to join all that are linked."""
-    dealt = staged(tiles(rows, similarity), "tiles")
+    dealt = staged(tiles(rows, similarity), "tiles", files)
     total = dealt.select("cell", "node", "n_words").distinct().agg(F.sum(F.col("n_words") * 4 + ROW_BYTES)).first()[0] or 0
     held = dealt.groupBy(F.expr(f"pmod(cell, {total // CELL_BYTES + 1})").alias("cell"), "node", "label").agg(F.collect_set("tile").alias("tiles"))
     held = held.join(texts.select("node", "codes").hint("merge"), "node").select("cell", "node", "label", "tiles", "codes")
     return held.groupBy("cell").applyInArrow(_compared(similarity), "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of links (a, b): the least node that links lead to.
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, label) for the nodes of links (a, b): the least node that links lead to. ``files``: of a staged table, at most.
 
     Every node takes its least neighbour, if less than itself, as its parent;
     parents are followed to the roots, twice as far each round; and the links
     between different roots, few by then, are resolved in the same way.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    links = staged(links.select(low.alias("a"), high.alias("b")).filter("a < b").distinct(), "links")
+    links = staged(links.select(low.alias("a"), high.alias("b")).filter("a < b").distinct(), "links", files)
     parent = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     alone = links.select(F.col("a").alias("node")).distinct().join(parent, "node", "left_anti").select("node", F.col("node").alias("label"))
-    labels = staged(parent.union(alone), "labels")
+    labels = staged(parent.union(alone), "labels", files)
     while True:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        moved = staged(labels.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), "labels")
+        moved = staged(labels.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), "labels", files)
         labels = moved.select("node", "label")
         if not moved.filter("moved").limit(1).count():
             break
     ends = [labels.select(F.col("node").alias(n), F.col("label").alias(f"root_{n}")) for n in ("a", "b")]
     between = links.join(ends[0], "a").join(ends[1], "b").filter("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    between = staged(between, "between")
+    between = staged(between, "between", files)
     if not between.limit(1).count():
         return labels
-    return relabelled(labels, components(between))
+    return relabelled(labels, components(between, files))
 
 
 def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
@@ -442,26 +442,27 @@ def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (id, node), one for each document, and (node, label) of the linked nodes."""
     rows = staged(sketched(docs, id_col, text_col, all_sketches), "sketches")
+    files = files_beside(rows)
     bands = rows.filter(F.col("sketches").isNotNull()).select("node", "n_words", F.posexplode("sketches").alias("band", "sketch"))
     bands = bands.select(F.xxhash64("band", "sketch").alias("key"), "node", "n_words")
     # all rows go by key once; a key's rows are sorted and summed as a stream that can spill
     mates = Window.partitionBy("key")
     met = bands.withColumn("hub", F.min(F.struct("node", "n_words")).over(mates)).filter(F.col("node") != F.col("hub.node"))
-    met = staged(met.select("key", "hub.node", "hub.n_words", "node", "n_words").toDF("key", "hub", "hub_words", "node", "n_words").distinct(), "buckets")  # rows of buckets with company, but for the hub
+    met = staged(met.select("key", "hub.node", "hub.n_words", "node", "n_words").toDF("key", "hub", "hub_words", "node", "n_words").distinct(), "buckets", files)  # rows of buckets with company, but for the hub
     near = F.abs(F.col("n_words") - F.col("hub_words")) <= F.floor(F.greatest("n_words", "hub_words") * (1 - similarity) + 1e-9)
-    places = star_places(staged(met.filter(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
+    places = star_places(staged(met.filter(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs", files))
     others = met.select("node").distinct().select("node", F.lit(None).cast(places.schema["place"].dataType).alias("place"))
     wanted = places.union(others).groupBy("node").agg(F.collect_list("place").alias("places"))
     # no side has a known bound, so neither is broadcast; the words go by node once for all stars
     texts = rows.filter(F.col("codes").isNotNull()).select("node", "codes").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
-    texts = staged(texts, "texts")
-    linked = components(star_links(texts, similarity))
+    texts = staged(texts, "texts", files)
+    linked = components(star_links(texts, similarity), files)
     left = met.join(linked, "node", "left").select("key", "hub", "node", "n_words", F.coalesce("label", "node").alias("label"))
-    more = staged(leftover_links(staged(left, "labelled"), texts, similarity), "links")
+    more = staged(leftover_links(staged(left, "labelled", files), texts, similarity, files), "links", files)
     if more.limit(1).count():
-        joined = components(more)
+        joined = components(more, files)
         rest = joined.join(linked, "node", "left_anti")  # nodes that had no link to a hub
-        linked = staged(relabelled(linked, joined).union(rest), "labels")
+        linked = staged(relabelled(linked, joined).union(rest), "labels", files)
     return rows.select("id", "node"), linked
 
 
@@ -484,7 +485,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = nodes.groupBy("label").agg(F.min(F.struct("none", "id", "node")).alias("best")).select("best.id", "best.node")
     counts = rows.groupBy("node", "id").agg(F.count("*").alias("copies"))
     kept = counts.join(chosen, counts["id"].eqNullSafe(chosen["id"]) & (counts["node"] == chosen["node"]), "left_semi")
-    kept = staged(kept.select(F.col("id").alias("_kept_id"), F.col("node").alias("_kept_node"), "copies"), "kept")
+    kept = staged(kept.select(F.col("id").alias("_kept_id"), F.col("node").alias("_kept_node"), "copies"), "kept", files_beside(rows))
     node = free_name(docs, "_node")
     own = docs.withColumn(node, node_of(F.col(text_col)))
 

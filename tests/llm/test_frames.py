@@ -393,6 +393,59 @@ def test_blocks_of_items_make_no_difference(spark):
     assert plain[0] == plain[1] and any(n for n, *_ in plain[0])
 
 
+def test_cleaning_is_one_python_step(spark):
+    """Matching and cutting take one worker of a task; several blocks give what their joined spans say."""
+    from laneweave.llm import decontaminate as dc
+
+    rng = random.Random(31)
+    items = [(i, sentence(rng, 30)) for i in range(6)]
+    texts = [None, "", "!?", items[0][1], f"A. {items[1][1]}, end {sentence(rng, 60)}", f"{sentence(rng, 40)} {items[2][1][:90]} {sentence(rng, 9)} {items[5][1]} {sentence(rng, 60)}", sentence(rng, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "cleaned long, text string")
+    blocks = dc.automata(spark.createDataFrame(items, "item_id long, text string"), block_words=70)
+    assert len(blocks) > 1
+    want = {}
+    for r in dc.mark(docs, blocks).collect():
+        if r.hits.n_hit <= r.hits.n_words * dc.MAX_COVERAGE:
+            want[r.cleaned] = dc._cut(r.text, [s.asDict() for s in r.hits.spans], dc.MAX_SPAN) if r.hits.spans else r.text
+    out = dc.clean(docs, blocks)
+    got = {r.cleaned: r.text for r in out.collect()}
+    assert got == want and 3 not in got and got[6] == texts[6] and len(got[5]) < len(texts[5])
+    assert out.columns == docs.columns
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_tables_of_few_rows_are_few_files(spark, monkeypatch):
+    """Near-duplicates of a small table don't take a file for each of many partitions, and are the same."""
+    from laneweave.llm import order_minhash as om
+
+    rng = random.Random(37)
+    texts = [sentence(rng, rng.randrange(30, 60)) for _ in range(120)]
+    texts += [f"{t} indeed" for t in texts] + texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(om.near_duplicates(docs).collect())
+    kept = sorted(r.doc_id for r in om.deduplicate(docs).collect())
+    assert kept == sorted({r.class_id for r in want}) and len(kept) == 120
+    files, staged = {}, om.staged
+
+    def counted(df, label, *more):
+        out = staged(df, label, *more)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(om, "staged", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(r.doc_id for r in om.deduplicate(docs).collect()) == kept
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"buckets", "pairs", "texts", "links", "labels", "labelled", "kept"} <= files.keys()
+    assert max(files.values()) <= 8
+
+
 def test_mix_keeps_other_columns(spark):
     """Columns of whatever name keep their values."""
     from laneweave.llm import mixing
